@@ -39,6 +39,10 @@ DOMAIN_RULES = [
 ]
 
 
+# Patterns without alternatives that differ between engines.
+SIGNAL_RULES = VARIANT_RULES
+
+
 def lst(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 

@@ -49,7 +49,10 @@ def markers(text: Column, lexicon: list[str]) -> Column:
 
     The plain substring test runs first: it is cheap and settles most phrases.
     """
-    lower = F.lower(text)
+    return markers_in_lower(F.lower(text), lexicon)
+
+
+def markers_in_lower(lower: Column, lexicon: list[str]) -> Column:
     hits = []
     for phrase in lexicon:
         bounded = lower.rlike(f"(?<![a-z]){re.escape(phrase)}(?![a-z])")
@@ -63,7 +66,8 @@ def specificity(text: Column, sentences: Column, cap: int = 25) -> Column:
     def capitals(sentence):
         tokens = F.split(sentence, f"[{X.WS}]+")
         rest = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
-        bare = F.transform(rest, lambda w: F.regexp_replace(w, "[^A-Za-z'-]", ""))
+        capital = F.filter(rest, lambda w: w.rlike("[A-Z]"))
+        bare = F.transform(capital, lambda w: F.regexp_replace(w, "[^A-Za-z'-]", ""))
         return F.filter(bare, lambda w: (F.length(w) > 2) & w.rlike("^[A-Z][a-z]"))
 
     names = F.flatten(F.transform(sentences, capitals))
@@ -119,6 +123,7 @@ def with_signals(
     prompt = F.coalesce(F.col(statement), F.lit(""))
     base = df.select(*keep, body.alias("_t"), prompt.alias("_s"))
     base = base.withColumns({
+        "_low": F.lower("_t"),
         "_words": X.signal_words(F.col("_t")),
         "_sent": X.sentences(F.col("_t")),
         "_paras": F.size(X.paragraphs(F.col("_t"))),
@@ -147,9 +152,9 @@ def with_signals(
         round_up_half(spread, 1).alias("sentence_length_stdev"),
         round_up_half(F.col("_overlap"), 2).alias("prompt_overlap"),
         restates(F.col("_first"), F.col("_pc")).alias("opens_by_restating_prompt"),
-        markers(F.col("_t"), concession).alias("concession_markers"),
+        markers_in_lower(F.col("_low"), concession).alias("concession_markers"),
         specificity(F.col("_t"), F.col("_sent")).alias("specificity_markers"),
-        markers(F.col("_t"), formulaic).alias("formulaic_markers"),
+        markers_in_lower(F.col("_low"), formulaic).alias("formulaic_markers"),
         flags.alias("flags"),
     )
     return base.select(*keep, signals.alias(out))

@@ -33,13 +33,17 @@ def survivor_rank(df_ordinal: str = "ordinal") -> Column:
     )
 
 
+def with_key(df: DataFrame, unicode: bool = True, text_col: str = "essay_text") -> DataFrame:
+    """Add the normalised key once; a table written with it spares the later steps the work."""
+    return df if "text_key" in df.columns else df.withColumn("text_key", X.norm_key(F.col(text_col), unicode))
+
+
 def exact_groups(df: DataFrame, unicode: bool = True) -> DataFrame:
     """(group_key, head, copies): the winning ordinal and the group size.
 
     The key is hashed so that long texts do not travel as shuffle keys.
     """
-    keyed = df.select(F.sha2(X.norm_key(F.col("essay_text"), unicode), 256).alias("group_key"),
-                      survivor_rank().alias("rank"))
+    keyed = with_key(df, unicode).select(F.sha2("text_key", 256).alias("group_key"), survivor_rank().alias("rank"))
     return keyed.groupBy("group_key").agg(
         F.min("rank").getField("r4").alias("head"), F.count("*").alias("copies"))
 
@@ -53,8 +57,7 @@ def exact_dedup(df: DataFrame, unicode: bool = True) -> tuple[DataFrame, DataFra
     groups = exact_groups(df, unicode)
     survivors = df.join(
         groups.select(F.col("head").alias("ordinal"), (F.col("copies") - 1).alias("duplicate_count")), "ordinal")
-    keyed = df.select("ordinal", "source_url",
-                      F.sha2(X.norm_key(F.col("essay_text"), unicode), 256).alias("group_key"))
+    keyed = with_key(df, unicode).select("ordinal", "source_url", F.sha2("text_key", 256).alias("group_key"))
     links = (
         keyed.join(groups.where("copies > 1").select("group_key", "head"), "group_key")
         .where((F.col("ordinal") != F.col("head")) & F.col("source_url").isNotNull())
@@ -69,8 +72,13 @@ def empty_key_count(df: DataFrame) -> DataFrame:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, unicode: bool = True) -> DataFrame:
-    keyed = df.select(F.col(id_col).alias("id"), X.norm_key(F.col(text_col), unicode).alias("key"))
-    return keyed.select("id", X.shingle_hashes(F.col("key")).alias("grams")).withColumn("sig", K.minhash("grams"))
+    """(id, grams, sig).  The key is written first unless the table already has it: two
+    Python steps in one projection would be planned together."""
+    if "text_key" in df.columns:
+        keyed = df.select(F.col(id_col).alias("id"), "text_key")
+    else:
+        keyed = materialise(with_key(df, unicode, text_col).select(F.col(id_col).alias("id"), "text_key"), "keys")
+    return keyed.select("id", X.shingle_hashes(F.col("text_key")).alias("grams")).withColumn("sig", K.minhash("grams"))
 
 
 def band_members(sk: DataFrame) -> DataFrame:

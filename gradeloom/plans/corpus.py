@@ -26,9 +26,9 @@ def build_corpus(staged: DataFrame, tells: str = R.GENERATED_TEXT_TELLS, verify:
                  near: bool = True, unicode: bool = True, max_cell_urls: int = 1000) -> Corpus:
     """``staged`` needs the essay columns and ``ordinal``.
 
-    The filtered records are written once: four later steps read them.
+    The filtered records and their keys are written once: four later steps read them.
     """
-    kept = materialise(quality.quality_filter(staged, tells), "kept")
+    kept = materialise(dedup.with_key(quality.quality_filter(staged, tells), unicode), "kept")
     survivors, links = dedup.exact_dedup(kept, unicode)
     if near:
         survivors, links = materialise(survivors, "exact"), materialise(links, "links")
@@ -36,7 +36,7 @@ def build_corpus(staged: DataFrame, tells: str = R.GENERATED_TEXT_TELLS, verify:
         survivors, links = dedup.cluster_survivors(survivors, links, labels)
         links = materialise(links, "links")
     cells = dedup.render_links(links, max_cell_urls).withColumnRenamed("head", "ordinal")
-    labelled = label(dedup.unique_ids(survivors)).join(cells, "ordinal", "left")
+    labelled = label(dedup.unique_ids(survivors.drop("text_key"))).join(cells, "ordinal", "left")
     return Corpus(labelled, links, quality.drop_counts(staged, tells))
 
 
