@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import rules as R
 from gradeloom.functions import text as X
+from gradeloom.operators.ordered import top_per_key
 from gradeloom.operators.prompts import variant_templates
 from gradeloom.schema import TRUST_TIERS
 
@@ -65,28 +64,30 @@ def spread_prompts(pool: DataFrame, anchored: DataFrame, variants: list[str], pe
     """Per variant: anchored prompts, then one topic per domain, then topics in pool order.
 
     ``variants`` is the order in which variants choose; a statement is used once over all
-    of them.  Each of the six steps keeps at most ``per_variant`` rows.
+    of them.  Other variants can take at most ``per_variant`` statements each, so the
+    first ``per_variant * len(variants)`` topics of every (variant, domain) decide the
+    result.  Only those few rows reach the driver, where the variants take turns.
     """
-    topics = pool.withColumn("domain", R.domain_of(F.col("statement"), domains))
-    taken = anchored.select("statement")
-    picks = []
+    depth = per_variant * len(variants)
+    first = pool.join(anchored.select("statement"), "statement", "left_anti").groupBy("variant", "statement").agg(
+        F.min("ordinal").alias("ordinal"))
+    ranked = top_per_key(first.withColumn("domain", R.domain_of(F.col("statement"), domains)),
+                         ["variant", "domain"], [F.col("ordinal")], depth)
+    candidates = ranked.orderBy("ordinal").collect()
+    have = {r["variant"]: r["count"] for r in anchored.groupBy("variant").count().collect()}
+    used: set[str] = set()
+    chosen: list[tuple[int, str]] = []
     for variant in variants:
-        mine = topics.where(F.col("variant") == variant).join(taken, "statement", "left_anti")
-        firsts = mine.groupBy("statement").agg(
-            F.min("ordinal").alias("ordinal"), F.min_by("domain", "ordinal").alias("domain"))
-        domain_first = firsts.groupBy("domain").agg(F.min("ordinal").alias("ordinal")).withColumn("_turn", F.lit(1))
-        ranked = firsts.join(domain_first.select("ordinal", "_turn"), "ordinal", "left").withColumn(
-            "_turn", F.coalesce("_turn", F.lit(2)))
-        already = anchored.where(F.col("variant") == variant).agg(F.count("*")).scalar()
-        head = ranked.orderBy("_turn", "ordinal").limit(per_variant)
-        room = F.greatest(F.lit(per_variant) - already, F.lit(0)).cast("int")
-        # At most per_variant rows are gathered here.
-        listed = head.agg(F.array_sort(F.collect_list(F.struct("_turn", "ordinal", "statement"))).alias("_l"))
-        chosen = listed.select(F.explode(F.slice("_l", F.lit(1), room)).alias("p")).select("p.ordinal", "p.statement")
-        picks.append(chosen.select("ordinal", F.lit(variant).alias("variant")))
-        taken = taken.unionByName(chosen.select("statement"))
-    chosen_ids = reduce(DataFrame.unionByName, picks)
-    pooled = pool.join(chosen_ids, ["ordinal", "variant"]).select(
+        free = [r for r in candidates if r["variant"] == variant and r["statement"] not in used]
+        opener_of = {r["domain"]: r["ordinal"] for r in reversed(free)}
+        by_turn = sorted(free, key=lambda r: (opener_of[r["domain"]] != r["ordinal"], r["ordinal"]))
+        for row in by_turn[: max(0, per_variant - have.get(variant, 0))]:
+            used.add(row["statement"])
+            chosen.append((row["ordinal"], variant))
+    picked = F.lit(False)
+    for ordinal, variant in chosen:
+        picked = picked | ((F.col("ordinal") == ordinal) & (F.col("variant") == variant))
+    pooled = pool.where(picked).select(
         "id", "statement", "instruction", "variant", "variant_summary", "required_moves",
         F.lit(False).alias("anchored"), F.lit(None).cast("string").alias("anchor_group"))
     return anchored.unionByName(pooled).withColumn("domain", R.domain_of(F.col("statement"), domains))
