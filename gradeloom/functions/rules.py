@@ -175,9 +175,13 @@ def type_from_question(task: Column, prompt: Column, pattern: str = r"(?i)do you
 def flag_generated(auth: Column, notes: Column, text: Column, pattern: str = GENERATED_TEXT_TELLS):
     """(authenticity, notes, flagged): the row stays, its authenticity is downgraded."""
     hit = text.rlike(pattern)
+    return *downgraded(auth, notes, hit), hit
+
+
+def downgraded(auth: Column, notes: Column, hit: Column):
     note = F.regexp_replace(
         F.concat(F.coalesce(notes, F.lit("")), F.lit(" | " + GENERATED_TEXT_NOTE)), r"^[ |]+|[ |]+$", "")
-    return F.when(hit, "uncertain").otherwise(auth), F.when(hit, note).otherwise(notes), hit
+    return F.when(hit, "uncertain").otherwise(auth), F.when(hit, note).otherwise(notes)
 
 
 def authenticity_from_date(date: Column, after: str, undated: str = "likely", dated: str = "confirmed",

@@ -157,7 +157,7 @@ def with_signals(
         markers_in_lower(F.col("_low"), formulaic).alias("formulaic_markers"),
         flags.alias("flags"),
     )
-    return base.select(*keep, signals.alias(out))
+    return X.computed_once(base, **{out: signals}).select(*keep, out)
 
 
 def is_mechanical_zero(flags: Column) -> Column:

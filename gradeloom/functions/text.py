@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -183,6 +183,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add costly columns behind a generator.
+
+    A filter on a projected column is pushed down with the whole expression, which then
+    runs once in the filter and again in the projection.  A one-element generator keeps
+    the filter above it, so each expression runs once per row.
+    """
+    rest = [c for c in df.columns if c not in exprs]
+    return df.select(*rest, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def _key_tokens(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda w: w != "")
 

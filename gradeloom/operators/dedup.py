@@ -48,6 +48,18 @@ def exact_groups(df: DataFrame, unicode: bool = True) -> DataFrame:
         F.min("rank").getField("r4").alias("head"), F.count("*").alias("copies"))
 
 
+def exact_survivors(df: DataFrame, columns: list[str], unicode: bool = True) -> DataFrame:
+    """Survivors with the named columns and duplicate_count, in one scan.
+
+    The winner's columns ride along in the aggregate, so this suits a few short columns;
+    whole records go through ``exact_dedup``.
+    """
+    keyed = with_key(df, unicode).select(
+        F.sha2("text_key", 256).alias("group_key"), survivor_rank().alias("rank"), F.struct(*columns).alias("row"))
+    return keyed.groupBy("group_key").agg(
+        F.min_by("row", "rank").alias("row"), (F.count("*") - 1).alias("duplicate_count")).select("row.*", "duplicate_count")
+
+
 def exact_dedup(df: DataFrame, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
     """(survivors, links).
 
@@ -172,7 +184,7 @@ def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     contracted = materialise(contracted, "contract")
     if contracted.where("x <> y").limit(1).count() == 0:
         return labels
-    merged = connected_components(contracted, "x", "y").withColumnsRenamed({"id": "label", "label": "root"})
+    merged = connected_components(contracted, "x", "y").select(F.col("id").alias("label"), F.col("label").alias("root"))
     fresh = contracted.select(F.col("a").alias("id"), F.col("x").alias("label")).unionByName(
         contracted.select(F.col("b").alias("id"), F.col("y").alias("label"))).distinct()
     everyone = labels.unionByName(fresh).distinct()

@@ -27,24 +27,33 @@ def letter_count(text: Column) -> Column:
 
 def quality_reasons(df: DataFrame, min_words=MIN_WORDS, max_words=MAX_WORDS, min_rated=MIN_WORDS_RATED) -> DataFrame:
     """Add word_count and drop_reason; the checks apply in a fixed order."""
-    stated = F.col("word_count") if "word_count" in df.columns else F.lit(None).cast("int")
-    counted = df.withColumn("word_count", F.coalesce(F.nullif(stated, F.lit(0)), X.word_count(F.col("essay_text"))))
+    measured = _measured(df)
     floor = F.when(F.col("score_type").isin("official", "teacher_rated"), min_rated).otherwise(min_words)
-    wc, t = F.col("word_count"), F.col("essay_text")
-    return counted.withColumn(
+    wc = F.col("word_count")
+    return measured.withColumn(
         "drop_reason",
         F.when(wc < floor, "too_short")
         .when(wc > max_words, "too_long")
-        .when(letter_count(t) < F.length(t) * 0.5, "not_prose"),
-    )
+        .when(F.col("_letters") < F.length("essay_text") * 0.5, "not_prose"),
+    ).drop("_letters")
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    """word_count (the stated one where there is one) and letter count, each computed once."""
+    t = F.col("essay_text")
+    counted = X.word_count(t)
+    if "word_count" in df.columns:
+        counted = X.let(F.col("word_count"), lambda stated: F.when(stated > 0, stated).otherwise(X.word_count(t)))
+    return X.computed_once(df, word_count=counted, _letters=letter_count(t))
 
 
 def quality_filter(df: DataFrame, tells: str = R.GENERATED_TEXT_TELLS, **limits) -> DataFrame:
     """Kept rows, with authenticity downgraded where the text shows a generator phrase."""
     kept = quality_reasons(df, **limits).where(F.col("drop_reason").isNull()).drop("drop_reason")
+    kept = X.computed_once(kept, flagged_generated=F.coalesce(F.col("essay_text").rlike(tells), F.lit(False)))
     notes = F.col("notes") if "notes" in df.columns else F.lit(None).cast("string")
-    auth, new_notes, hit = R.flag_generated(F.col("human_authenticity"), notes, F.col("essay_text"), tells)
-    return kept.withColumns({"human_authenticity": auth, "notes": new_notes, "flagged_generated": F.coalesce(hit, F.lit(False))})
+    auth, new_notes = R.downgraded(F.col("human_authenticity"), notes, F.col("flagged_generated"))
+    return kept.withColumns({"human_authenticity": auth, "notes": new_notes})
 
 
 def drop_counts(df: DataFrame, tells: str = R.GENERATED_TEXT_TELLS, **limits) -> DataFrame:

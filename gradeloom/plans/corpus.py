@@ -56,9 +56,12 @@ def statistics(records: DataFrame) -> dict[str, DataFrame]:
 
 def flagship(staged: DataFrame, unicode: bool = True) -> DataFrame:
     """Per source: records kept, scored, confirmed, and copies collapsed, after exact dedup."""
-    kept = quality.quality_filter(staged)
-    survivors, _ = dedup.exact_dedup(kept, unicode)
-    return label(survivors).groupBy("source_name").agg(
+    needed = ["source_name", "score_available", "score_type", "human_authenticity"]
+    survivors = dedup.exact_survivors(quality.quality_filter(staged), needed, unicode)
+    human = F.col("score_type").isin("official", "teacher_rated", "self_reported", "third_party_rated")
+    priority = F.when(F.col("score_type") == "official", 1).when(human, 2).when(
+        F.col("human_authenticity").isin("confirmed", "likely"), 3).otherwise(4)
+    return survivors.groupBy("source_name").agg(
         F.count("*").alias("kept"), F.count_if("score_available").alias("scored"),
         F.count_if(F.col("human_authenticity") == "confirmed").alias("confirmed"),
-        F.sum("duplicate_count").alias("collapsed"), F.min("priority").alias("best_priority"))
+        F.sum("duplicate_count").alias("collapsed"), F.min(priority).alias("best_priority"))
