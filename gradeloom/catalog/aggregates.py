@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from gradeloom.catalog.base import (
-    ANCHORS, DOMAIN_RULES, ESSAYS, LABELLED, POOL, PREDS, RANKED, REASON, TELLS, TELLS_SQL, VARIANT_RULES, case_rules, query, r3, squeeze, wc,
+    ANCHORS, DOMAIN_RULES, ESSAYS, LABELLED, POOL, PREDS, RANKED, REASON, TELLS, TELLS_SQL, VARIANT_RULES, case_rules, query, r3, squeeze,
 )
-from gradeloom.functions import text as X
 from gradeloom.functions.numbers import half_point_median
 from gradeloom.operators import agreement, dedup, quality, stats, testsets
 from gradeloom.operators.labels import label
@@ -291,5 +290,3 @@ def shuffled_prefix(spark, sf):
     from gradeloom.sources.readers import shuffled_prefix as take
     return take(A.table(spark, sf, "pages").select("page_id", "url"), "url", 50)
 
-
-__all__ = ["X", "wc"]

@@ -102,6 +102,15 @@ def r3(expr: str, digits: int = 3) -> str:
     return f"(floor(({expr})::DOUBLE * {scale} + 0.5::DOUBLE) / {scale})"
 
 
+def grams(source: str, id_col: str, key: str) -> str:
+    """CTE gram(id, g): distinct five-token shingles of a normalised key, one row each."""
+    w = f"OVER (PARTITION BY {id_col} ORDER BY i)"
+    return f"""tok AS (SELECT {id_col}, unnest(toks) AS w, generate_subscripts(toks, 1) AS i, len(toks) AS n FROM
+  (SELECT {id_col}, list_filter(string_split({key}, ' '), lambda x: x <> '') AS toks FROM {source})),
+gram5 AS (SELECT {id_col}, i, n, lead(w, 4) {w} AS last, concat_ws(' ', w, lead(w, 1) {w}, lead(w, 2) {w}, lead(w, 3) {w}, lead(w, 4) {w}) AS g FROM tok),
+gram AS (SELECT DISTINCT {id_col}, g FROM gram5 WHERE last IS NOT NULL OR (n < 5 AND i = 1))"""
+
+
 ESSAYS = f"""essays AS (
   SELECT d.doc_id AS ordinal, 'doc_' || d.doc_id AS essay_id, d.text AS essay_text,
     CASE d.doc_id % 3 WHEN 0 THEN 'issue' WHEN 1 THEN 'argument' ELSE 'unknown' END AS essay_type,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import ANCHORS, ESSAYS, POOL, query
+from gradeloom.catalog.base import POOL, query
 from gradeloom.operators import checks as C
 from gradeloom.plans import validate as V
 from gradeloom.sources import adapters as A
@@ -99,5 +99,3 @@ UNION ALL SELECT 'statement_length', id FROM pool WHERE length(statement) NOT BE
 def validate_topics(spark, sf):
     return V.validate_topics(A.pool(spark, sf)).select("rule_id", "key")
 
-
-__all__ = ["ANCHORS", "ESSAYS"]

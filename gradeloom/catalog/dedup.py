@@ -2,10 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import KEPT, RANKED, query, norm
-from gradeloom.functions import html as H
+from gradeloom.catalog.base import KEPT, RANKED, grams, norm, query
 from gradeloom.operators import components, dedup, quality
-from gradeloom.operators.agreement import ladder_name
 from gradeloom.plans import corpus
 from gradeloom.session import materialise
 from gradeloom.sources import adapters as A
@@ -40,9 +38,7 @@ def survivor_rank(spark, sf):
 
 
 # Exact Jaccard over whole texts through an inverted index, then components.
-_BRUTE = f"""{RANKED}, toks AS (SELECT ordinal, list_filter(string_split(key, ' '), lambda w: w <> '') AS w FROM survivors),
-gram AS (SELECT DISTINCT ordinal, g FROM (SELECT ordinal, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-  lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM toks WHERE len(w) > 0)),
+_BRUTE = f"""{RANKED}, {grams('survivors', 'ordinal', 'key')},
 size AS (SELECT ordinal, count(*) AS n FROM gram GROUP BY 1),
 pair AS (SELECT a.ordinal AS a, b.ordinal AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.ordinal < b.ordinal GROUP BY 1, 2),
 edge AS (SELECT a, b FROM pair JOIN size x ON x.ordinal = a JOIN size y ON y.ordinal = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
@@ -159,5 +155,3 @@ def flagship(spark, sf):
 def empty_keys(spark, sf):
     return dedup.empty_key_count(kept(spark, sf))
 
-
-__all__ = ["H", "ladder_name"]

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import ANCHORS, ESSAYS, POOL, PREDS, SIGNAL_RULES, query, r3, squeeze, strip, case_rules
-from gradeloom.functions import text as X
+from gradeloom.catalog.base import ANCHORS, POOL, PREDS, SIGNAL_RULES, case_rules, query, squeeze, strip
 from gradeloom.operators import agreement, checks, dedup, gold, segments
 from gradeloom.operators import threads as T
 from gradeloom.operators.prompts import resolve_prompts, variant_templates
@@ -152,5 +151,3 @@ def essay_commentary(spark, sf):
 def distinct_statements(spark, sf):
     return A.pool(spark, sf).agg(F.countDistinct("statement").alias("statements"), F.countDistinct("id").alias("ids"), F.count("*").alias("topics"))
 
-
-__all__ = ["ESSAYS", "X", "r3"]

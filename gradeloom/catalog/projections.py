@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gradeloom.catalog.base import (
-    DOMAIN_RULES, ESSAYS, POOL, SUBTYPE, LABELLED, TELLS, TELLS_SQL, VARIANT_RULES, case_rules, lst, norm, nonblank, query, r3, sents,
+    DOMAIN_RULES, ESSAYS, LABELLED, POOL, TELLS, TELLS_SQL, VARIANT_RULES, case_rules, grams, nonblank, norm, query, r3, sents,
     squeeze, strip, wc, words,
 )
 from gradeloom.functions import html as H
@@ -68,10 +68,8 @@ def topic_id(spark, sf):
     return A.pool(spark, sf).select("ordinal", "variant", "id")
 
 
-@query("x08_shingles", f"""
-WITH k AS (SELECT doc_id, list_filter(string_split({norm('text')}, ' '), lambda w: w <> '') AS toks FROM documents)
-SELECT doc_id, (CASE WHEN len(toks) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(len(toks) - 4, 1) + 1),
-  lambda i: array_to_string(list_slice(toks, i, i + 4), ' ')))) END)::INTEGER AS shingles FROM k""")
+@query("x08_shingles", f"""WITH {grams('documents', 'doc_id', norm('text'))}, c AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::INTEGER AS shingles FROM documents LEFT JOIN c USING (doc_id)""")
 def shingles(spark, sf):
     keyed = docs(spark, sf).select("doc_id", X.norm_key(F.col("text")).alias("key"))
     return keyed.select("doc_id", F.size(X.shingle_hashes(F.col("key"))).alias("shingles"))
@@ -284,5 +282,3 @@ SELECT doc_id, md5({strip(squeeze('t'))}) AS text_md5 FROM k""")
 def strip_noise(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.strip_noise(F.col("text"), [r"^\s*$", r"(?i)the\s*$"])).alias("text_md5"))
 
-
-__all__ = ["docs", "lst", "SUBTYPE"]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import query, strip, wc
+from gradeloom.catalog.base import query, wc
 from gradeloom.operators import segments
 from gradeloom.operators import threads as T
 from gradeloom.sources import adapters as A
@@ -48,5 +48,3 @@ def first_scored_reply(spark, sf):
 def first_author(spark, sf):
     return T.first_human_author(A.thread_posts(spark, sf), ["system", "assistant"])
 
-
-__all__ = ["strip"]

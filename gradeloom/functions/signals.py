@@ -63,11 +63,11 @@ def markers_in_lower(lower: Column, lexicon: list[str]) -> Column:
 def specificity(text: Column, sentences: Column, cap: int = 25) -> Column:
     """Capitalised words that do not open a sentence, then years, then figures."""
 
+    after_first = f"(?<=[{X.WS}])[^{X.WS}]*[A-Z][^{X.WS}]*"
+
     def capitals(sentence):
-        tokens = F.split(sentence, f"[{X.WS}]+")
-        rest = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
-        capital = F.filter(rest, lambda w: w.rlike("[A-Z]"))
-        bare = F.transform(capital, lambda w: F.regexp_replace(w, "[^A-Za-z'-]", ""))
+        tokens = F.regexp_extract_all(sentence, F.lit(after_first), F.lit(0))
+        bare = F.transform(tokens, lambda w: F.regexp_replace(w, "[^A-Za-z'-]", ""))
         return F.filter(bare, lambda w: (F.length(w) > 2) & w.rlike("^[A-Z][a-z]"))
 
     names = F.flatten(F.transform(sentences, capitals))
@@ -99,8 +99,16 @@ def restates(first_words: Column, statement_words: Column) -> Column:
 
 
 def copies_prompt(essay: Column, statement: Column) -> Column:
-    head = F.left(F.lower(X.squeeze_ws(X.strip_ws(essay))), F.lit(200))
-    return (F.length(head) > 0) & F.contains(F.lower(X.squeeze_ws(statement)), head)
+    """The first 200 normalised characters of the essay stand in the statement.
+
+    The first token alone must stand there too; that settles most rows without
+    normalising the essay.
+    """
+    trimmed = X.strip_ws(essay)
+    prompt = F.lower(X.squeeze_ws(statement))
+    token = F.left(F.lower(F.regexp_extract(trimmed, f"^[^{X.WS}]+", 0)), F.lit(200))
+    head = F.left(F.lower(X.squeeze_ws(trimmed)), F.lit(200))
+    return (token != "") & F.contains(prompt, token) & F.contains(prompt, head)
 
 
 def with_signals(
