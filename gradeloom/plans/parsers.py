@@ -33,15 +33,15 @@ def parse_posts(posts: DataFrame, comments: DataFrame | None = None, prefix: str
                 url_prefix: str = "", context: str = quality.POST_CONTEXT, collected_at: str | None = None,
                 **lexicons) -> DataFrame:
     """Self-posts with ``ordinal``: own or community score, prompt split, essay test, first accepted per id."""
-    clean = posts.withColumns({"body": X.clean_text(F.col("selftext")), "title": X.clean_text(F.col("title"))})
+    clean = X.computed_once(posts, body=X.clean_text(F.col("selftext")), title=X.clean_text(F.col("title")))
     clean = clean.where(quality.usable_post(F.col("title"), F.col("body"), context))
-    scored = clean.withColumn("_own", T.own_score(F.col("title"), F.col("body"))).withColumns({
+    scored = X.computed_once(clean, _own=T.own_score(F.col("title"), F.col("body"))).withColumns({
         "score": F.col("_own.score"), "score_type": F.col("_own.score_type"), "evidence": F.col("_own.evidence")})
     if comments is not None:
         scored = T.fill_from_comments(scored, T.best_grader_comment(comments))
     split = T.split_post(scored)
     accepted = T.looks_like_essay(F.col("prompt"), F.col("essay"), F.col("score").isNotNull(), **lexicons)
-    chosen = dedup.first_accepted(split, accepted)
+    chosen = dedup.first_accepted(X.computed_once(split, _accepted=accepted), F.col("_accepted"))
     date = R.epoch_date(F.col("created_utc"))
     auth = F.when(F.coalesce(date < R.CUTOFF_DATE, F.lit(False)), "confirmed").otherwise("likely")
     has = F.col("score").isNotNull()
@@ -76,8 +76,9 @@ def parse_threads(threads: DataFrame, posts: DataFrame, dates: DataFrame | None
     replies = posts.where("pos > 0 and body is not null").withColumn("body", X.clean_text(F.col("body")))
     t = threads.join(opening, "thread_id", "left")
     t = t.where(quality.title_reason(F.coalesce("title", F.lit("")), F.col("body"), deny).isNull())
-    t = t.withColumn("_p", T.split_forum_post(T.restore_paragraphs(X.clean_text(F.col("body"))))).where(
-        X.word_count(F.col("_p.essay")) >= min_words)
+    t = X.computed_once(t, body=X.clean_text(F.col("body")))
+    t = X.computed_once(t, body=T.restore_paragraphs(F.col("body")))
+    t = X.computed_once(t, _p=T.split_forum_post(F.col("body"))).where(X.word_count(F.col("_p.essay")) >= min_words)
     t = t.withColumns({
         "tid": F.regexp_extract("url", r"-(\d+)\.html$", 1), "parsed_date": R.forum_date(F.col("date_text"), as_of)})
     if dates is not None:
@@ -104,10 +105,9 @@ def parse_pages(pages: DataFrame, source: str = "archived pages", prefix: str =
     ok = ok.withColumn("_s", H.snapshot_parts(F.col("url"))) if snapshots else ok.withColumn(
         "_s", F.struct(F.lit(None).cast("string").alias("ts"), F.col("url").alias("original")))
     blocks = ok.where("_s is not null").select("_s", H.html_blocks("body").alias("blocks"))
-    parsed = blocks.select(
-        "_s.ts", "_s.original", H.page_prompt(F.col("blocks")).alias("prompt"), H.page_body(F.col("blocks")).alias("essay"),
-        H.page_meta(F.col("blocks")).alias("meta"),
-        H.page_scores(F.array_join(F.transform("blocks", lambda b: b.text), "\n")).alias("sc"))
+    parsed = X.computed_once(
+        blocks.select("_s.ts", "_s.original", "blocks"), prompt=H.page_prompt(F.col("blocks")), essay=H.page_body(F.col("blocks")),
+        meta=H.page_meta(F.col("blocks")), sc=H.page_scores(F.array_join(F.transform("blocks", lambda b: b.text), "\n")))
     parsed = parsed.where(X.word_count(F.col("essay")) >= min_words)
     tail = F.regexp_extract("original", r"^[a-z]+://[^/]+/(.*)$", 1)
     amended = F.contains(F.col("prompt"), F.lit("(Amended)")) | F.contains(F.lower("original"), F.lit("amended"))
@@ -176,8 +176,8 @@ def parse_scored_documents(docs: DataFrame, marker: str = SAMPLE_MARKER, cut: st
     """Published responses: one per score marker, commentary cut off, at least ten words."""
     segs = segments.segment(docs, marker)
     body = X.strip_noise(F.get(F.split("body", cut), F.lit(0)))
-    found = segs.withColumns({
-        "essay": body, "score": F.regexp_extract("marker", r"(\d)\D*$", 1).try_cast("double"),
+    found = X.computed_once(segs, essay=body).withColumns({
+        "score": F.regexp_extract("marker", r"(\d)\D*$", 1).try_cast("double"),
         "named": F.lower(F.regexp_extract("marker", r"(?i)sample\s*(issue|argument)", 1))})
     order = F.col("part").cast("bigint") * (1 << 32) + F.col("seg_no")
     found = rank_within(found.withColumn("_o", order), ["doc"], "_o", out="n").where(X.word_count(F.col("essay")) >= 10)

@@ -28,7 +28,7 @@ def _typed(df: DataFrame) -> DataFrame:
     out = S.nulls_for_blank(df)
     return out.withColumns({
         "score": F.col("score").try_cast("double"),
-        "collected_at": F.try_to_date("collected_at", F.lit("yyyy-MM-dd")),
+        "collected_at": F.try_to_date("collected_at", "yyyy-MM-dd"),
     })
 
 
