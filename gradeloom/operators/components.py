@@ -11,28 +11,25 @@ from gradeloom.session import materialise
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, label) for every node of ``edges``; the label is the smallest id of its component.
 
-    Each round lowers a node's label to the smallest one among its neighbours, then
-    follows the label's own label.  Both steps are equi joins on unique keys with a
-    mergeable minimum, and every round is written out, so lost executors cost one round.
+    Each round lowers a node's label to the smallest one among its neighbours and, one
+    step further, to that label's own label.  Both are equi joins against a table with
+    unique ids plus a mergeable minimum, so a hub costs one partial row per task.  Every
+    round is written out: a lost executor costs one round.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialise(
-        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-        .select("id", F.least("id", "m").alias("label")), "cc-labels")
+    first = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
+    labels = materialise(first.select("id", F.least("id", "near").alias("label")), "cc-labels")
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("id", "b"), "b")
             .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         )
-        lowered = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lowered = materialise(lowered, "cc-low")
-        jump = lowered.select(F.col("id").alias("label"), F.col("label").alias("via"))
-        # Only non-root labels need following; roots map to themselves.
-        nxt = lowered.join(jump.where("via <> label"), "label", "left").select(
-            "id", "old", F.coalesce("via", "label").alias("label"))
-        nxt = materialise(nxt, "cc-labels")
-        if nxt.where("old <> label").limit(1).count() == 0:
-            return nxt.select("id", "label")
-        labels = nxt.select("id", "label")
+        beyond = labels.select(F.col("id").alias("near"), F.col("label").alias("via"))
+        lowered = labels.join(near, "id").join(beyond, "near")
+        rounded = materialise(
+            lowered.select("id", F.col("label").alias("old"), F.least("label", "near", "via").alias("label")), "cc-labels")
+        labels = rounded.select("id", "label")
+        if rounded.where("old <> label").limit(1).count() == 0:
+            return labels
     raise RuntimeError("components did not settle; raise max_rounds")
