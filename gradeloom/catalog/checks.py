@@ -40,11 +40,11 @@ def min_tokens(spark, sf):
     return C.min_tokens(A.table(spark, sf, "documents"), "doc_id", F.col("text"), 80, "tokens")
 
 
-@query("q04_foreign_key", "SELECT 'nation_region' AS rule_id, c_custkey::VARCHAR AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("q04_foreign_key", "SELECT 'part_customer' AS rule_id, p_partkey::VARCHAR AS key FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
 def foreign_key(spark, sf):
-    """Customers that no order refers to."""
-    c = A.table(spark, sf, "customer").select("c_custkey")
-    return C.foreign_key(c, "c_custkey", A.table(spark, sf, "orders"), "o_custkey", "nation_region").select("rule_id", "key")
+    """Part keys without a customer of the same key."""
+    p = A.table(spark, sf, "part").select("p_partkey")
+    return C.foreign_key(p, "p_partkey", A.table(spark, sf, "customer"), "c_custkey", "part_customer").select("rule_id", "key")
 
 
 @query("q05_uniqueness", "SELECT 'repeated_text' AS rule_id, md5(text) AS key, 'occurs ' || count(*) || ' times' AS message FROM documents GROUP BY text HAVING count(*) > 1")

@@ -59,9 +59,9 @@ st AS (SELECT *, {strip("CASE WHEN found = '' THEN prompt_text ELSE left(prompt_
 
 @query("f05_gold_eligible", f"""WITH {LABELLED}, {_SPLIT}
 SELECT essay_id AS id, statement, instruction, score AS true_score FROM st
-WHERE subtype = 'A2_teacher_rated' AND essay_type = 'issue' AND essay_text <> '' AND score IS NOT NULL AND length(statement) > 20""")
+WHERE subtype = 'A2_teacher_rated' AND essay_type = 'argument' AND essay_text <> '' AND score IS NOT NULL AND length(statement) > 20""")
 def gold_eligible(spark, sf):
-    return gold.teacher_items(label(A.essays(spark, sf)), opener=_OPENER).select("id", "statement", "instruction", "true_score")
+    return gold.teacher_items(label(A.essays(spark, sf)), opener=_OPENER, task="argument").select("id", "statement", "instruction", "true_score")
 
 
 @query("f06_confirmed_issue", f"WITH {ESSAYS} SELECT essay_id FROM essays WHERE essay_type = 'issue' AND human_authenticity = 'confirmed'")
@@ -84,11 +84,11 @@ def out_of_scope(spark, sf):
 _GOLD = f"""{LABELLED}, {_SPLIT}, {ANCHORS}, gold AS (
   SELECT id, 'official' AS label_source, score AS true_score, false AS held_out, ordinal FROM anchors
   UNION ALL SELECT essay_id, 'teacher_rated', score, true, ordinal FROM st
-  WHERE subtype = 'A2_teacher_rated' AND essay_type = 'issue' AND essay_text <> '' AND score IS NOT NULL AND length(statement) > 20)"""
+  WHERE subtype = 'A2_teacher_rated' AND essay_type = 'argument' AND essay_text <> '' AND score IS NOT NULL AND length(statement) > 20)"""
 
 
 def gold_items(spark, sf):
-    return gold.gold_set(A.anchors(spark, sf), label(A.essays(spark, sf)), opener=_OPENER)
+    return gold.gold_set(A.anchors(spark, sf), label(A.essays(spark, sf)), opener=_OPENER, task="argument")
 
 
 @query("u02_gold_set", f"WITH {_GOLD} SELECT id, label_source, true_score, held_out FROM gold")
@@ -106,8 +106,8 @@ def gold_composition(spark, sf):
     return gold.composition(gold_items(spark, sf))
 
 
-@query("w05_round_robin", f"""WITH {_GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY true_score ORDER BY ordinal, id) AS rn,
-  min(ordinal) OVER (PARTITION BY true_score) AS seen FROM gold)
+@query("w05_round_robin", f"""WITH {_GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY true_score ORDER BY ordinal * 2 + CASE WHEN held_out THEN 0 ELSE 1 END) AS rn,
+  min(ordinal * 2 + CASE WHEN held_out THEN 0 ELSE 1 END) OVER (PARTITION BY true_score) AS seen FROM gold)
 SELECT id, true_score FROM r ORDER BY rn, seen, true_score LIMIT 40""")
 def round_robin(spark, sf):
     """A sampling report of 40 items; ordinals are made unique over the two origins."""
