@@ -90,7 +90,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, unicode: bool = True) ->
         keyed = df.select(F.col(id_col).alias("id"), "text_key")
     else:
         keyed = materialise(with_key(df, unicode, text_col).select(F.col(id_col).alias("id"), "text_key"), "keys")
-    return keyed.select("id", X.shingle_hashes(F.col("text_key")).alias("grams")).withColumn("sig", K.minhash("grams"))
+    # Behind a generator the shingles are a plain column for the Python step, whatever is pruned later.
+    grams = X.computed_once(keyed, grams=X.shingle_hashes(F.col("text_key"))).drop("text_key")
+    return grams.withColumn("sig", K.minhash("grams"))
 
 
 def band_members(sk: DataFrame) -> DataFrame:

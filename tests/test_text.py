@@ -7,6 +7,7 @@ from gradeloom.functions import numbers as N
 from gradeloom.functions import rules as R
 from gradeloom.functions import sketch as K
 from gradeloom.functions import text as X
+from gradeloom.operators import dedup
 
 
 def test_clean_text_unicode(col):
@@ -59,7 +60,7 @@ def test_minhash_estimates_jaccard(spark):
     base = [f"w{i}" for i in range(400)]
     other = base[:380] + [f"z{i}" for i in range(20)]
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base)), (4, "")], "id int, t string")
-    sig = {r["id"]: r["s"] for r in df.select("id", K.minhash(X.shingle_hashes(X.norm_key(F.col("t"), unicode=False))).alias("s")).collect()}
+    sig = {r["id"]: r["s"] for r in dedup.sketches(df, "id", "t", unicode=False).select("id", F.col("sig").alias("s")).collect()}
     assert len(sig[1]) == 96 and sig[1] == sig[3] and set(sig[4]) == {0}
     exact = 376 / (396 * 2 - 376)
     assert abs(np.mean([a == b for a, b in zip(sig[1], sig[2], strict=True)]) - exact) < 0.15
@@ -89,7 +90,7 @@ def test_variant_rules_and_split(col):
 
 def test_classify_task(spark):
     df = spark.createDataFrame([
-        ("The following appeared in a memo", "", ""), ("", "I strongly agree that in my opinion", ""),
+        ("The following is a letter from the mayor", "", ""), ("", "I strongly agree that in my opinion", ""),
         ("", "assumes that", "my issue essay"), ("", "", "")], "p string, e string, t string")
     got = [r[0] for r in df.select(R.classify_task(F.col("p"), F.col("e"), F.col("t"))).collect()]
     assert got == ["argument", "issue", "issue", "unknown"]
