@@ -1,8 +1,10 @@
 """All queries of this subpackage."""
 
 from gradeloom.llm import (  # noqa: F401
+    q_decontaminate,
     q_line_dedup,
     q_packing,
+    q_quality_rules,
     q_shard_tree,
 )
 from gradeloom.llm.registry import ORACLES, QUERIES  # noqa: F401
