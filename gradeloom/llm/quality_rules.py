@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import BLANKS, bind
-from gradeloom.session import materialise
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
+SAMPLE_CHARS = 1 << 16
 WINDOW = 5
 MIN_WORDS = 10
 # fixed values: the counted symbols
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
 LEAST_SECONDS = 1e-3
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -36,24 +36,25 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def words_of(text: Column) -> Column:
     """Words between the six blanks, in order."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _chars_but(text: Column, dropped: str) -> Column:
-    return F.length(F.translate(text, dropped, ""))
+def _without(text: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(text, pattern, ""))
 
 
 def word_chars(text: Column) -> Column:
-    return _chars_but(text, BLANKS).cast("bigint")
+    return _without(F.replace(text, F.lit(" "), F.lit("")), r"[\x09-\x0D]+").cast("bigint")
 
 
-def symbols(text: Column, which: str = SYMBOLS) -> Column:
-    return (F.length(text) - _chars_but(text, which)).cast("bigint")
+def symbols(text: Column, pattern: str = SYMBOLS) -> Column:
+    return (F.length(text) - _without(text, pattern)).cast("bigint")
 
 
 def dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    with_words = F.filter(F.split(text, "\n"), lambda x: _chars_but(x, BLANKS) > 0)
+    with_words = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return bind(with_words, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
 
 
@@ -78,46 +79,41 @@ def _covered(windows: Column, window: int) -> Column:
 
 
 def word_measures(text: Column, window: int = WINDOW) -> Column:
-    """struct(n_words, n_repeat_words) from one split of the text."""
-    def measured(w: Column) -> Column:
-        n = F.size(w)
-        starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-        hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(window)]))
+    """struct(n_words, n_repeat_words, n_stutter) from one split of the text."""
+    def measured(h: Column) -> Column:
+        n = F.size(h)
+        # the words of each window side by side; runs that end early are null there and cut off
+        runs = F.slice(F.arrays_zip(*[F.slice(h, j + 1, F.greatest(n - j, F.lit(0))).alias(f"w{j}") for j in range(window)]),
+                       F.lit(1), F.greatest(n - (window - 1), F.lit(0)))
+        hashes = F.transform(runs, lambda r: F.xxhash64(r))
         # most documents repeat no window, and a distinct count shows that without a sort
-        repeated = bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint"))
-                        .otherwise(_covered(h, window)))
-        return F.struct(n.cast("bigint").alias("n_words"), repeated.alias("n_repeat_words"))
-    return bind(words_of(text), measured)
+        repeated = bind(hashes, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("bigint"))
+                        .otherwise(_covered(g, window)))
+        stutter = F.size(F.filter(h, lambda x, i: (i > 0) & (x == F.get(h, i - 1))))
+        return F.struct(n.cast("bigint").alias("n_words"), repeated.alias("n_repeat_words"), stutter.cast("bigint").alias("n_stutter"))
+    return bind(F.transform(words_of(text), lambda w: F.xxhash64(w)), measured)
 
 
-def _ratio(text: Column, part: Column, percent: int) -> Column:
-    return part * 100 > word_chars(text) * percent
+def base_failed(n_words: Column, n_repeat: Column) -> Column:
+    """The base rule: too few words, or more than a fifth of them in repeated windows."""
+    return (n_words < MIN_WORDS) | (n_repeat * 100 > n_words * 20)
 
 
-def default_rules(text: Column) -> dict[str, Column]:
-    """The method's own rules; every one leaves ordinary prose alone."""
-    upper = F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("bigint")
-    lines = F.size(F.split(text, "\n"))
-    longest = F.array_max(F.transform(words_of(text), lambda w: F.length(w)))
-    stutter = bind(words_of(text), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))) * 100 > F.size(w) * 30)
+def text_rules(text: Column, chars: Column, n_symbols: Column, n_dup_lines: Column) -> dict[str, Column]:
+    """The method's rules on characters and lines; every one leaves ordinary prose alone."""
     return {
-        "symbols": _ratio(text, symbols(text), 6),
-        "exclamations": _ratio(text, symbols(text, "!"), 8),
-        "upper_case": _ratio(text, upper, 50),
-        "dup_lines": (dup_lines(text) * 100 > lines * 40) & (lines >= 4),
-        "no_letters": _ratio(text, F.length(F.regexp_replace(text, r"\p{L}+", "")) - F.length(text) + word_chars(text), 60),
-        "endless_word": longest > 1000,
-        "stutter": stutter,
+        "symbols": n_symbols * 100 > chars * 6,
+        "exclamations": symbols(text, "!+") * 100 > chars * 8,
+        "upper_case": symbols(text, r"\p{Lu}+") * 100 > chars * 50,
+        "dup_lines": (n_dup_lines * 100 > F.size(F.split(text, "\n")) * 40) & (F.size(F.split(text, "\n")) >= 4),
+        "no_letters": symbols(text, r"[^\p{L}\x20\x09-\x0D]+") * 100 > chars * 60,
+        "endless_word": text.rlike(r"[^\x20\x09-\x0D]{1001}"),
     }
 
 
-def base_rules(text: Column) -> dict[str, Column]:
-    """Too few words, or more than a fifth of the words in repeated windows."""
-    return {"base": bind(word_measures(text), lambda m: base_failed(m.getField("n_words"), m.getField("n_repeat_words")))}
-
-
-def base_failed(n_words: Column, n_repeat: Column) -> Column:
-    return (n_words < MIN_WORDS) | (n_repeat * 100 > n_words * 20)
+def stutters(n_words: Column, n_stutter: Column) -> Column:
+    """A third of the words repeat the word before them."""
+    return n_stutter * 100 > n_words * 30
 
 
 def cascade(rules: dict[str, Column]) -> Column:
@@ -128,10 +124,15 @@ def cascade(rules: dict[str, Column]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def measured_order(docs: DataFrame, rules: dict[str, Column], rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) on the first ``rows`` rows, best rule first."""
-    sample = materialise(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).limit(rows), "rule-sample")
-    sample.count()
+def measured_order(docs: DataFrame, rules: dict[str, Column]) -> list[tuple[str, float, float]]:
+    """(rule, seconds a document, share rejected) on a sample, best rule first.
+
+    The sample is the first ``SAMPLE_ROWS`` texts of up to ``SAMPLE_CHARS`` characters, so
+    what the driver holds is bounded and no more files are opened than it needs.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(text).where(F.length("text") <= SAMPLE_CHARS).limit(SAMPLE_ROWS).collect()
+    sample = docs.sparkSession.createDataFrame([(r[0],) for r in rows], "text string")
     out = []
     for at, (name, rule) in enumerate(rules.items()):
         began = time.perf_counter()
@@ -141,23 +142,38 @@ def measured_order(docs: DataFrame, rules: dict[str, Column], rows: int = SAMPLE
     return [(name, cost, share) for _, _, name, cost, share in sorted(out)]
 
 
-def ordered_rules(docs: DataFrame, rules: dict[str, Column]) -> dict[str, Column]:
-    return {name: rules[name] for name, _, _ in measured_order(docs, rules)}
+def ordered(docs: DataFrame, rules: dict[str, Column]) -> list[str]:
+    return [name for name, _, _ in measured_order(docs, rules)]
+
+
+def _of_text(text: Column) -> dict[str, Column]:
+    return text_rules(text, word_chars(text), symbols(text), dup_lines(text))
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the five measures, ``base_failed`` and ``kept``."""
+    """All columns of ``docs`` with the five measures, ``base_failed`` and ``kept``.
+
+    The measures are wanted for every row, so the rules read them; only what they do not
+    cover is left to the cascade.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rules = ordered_rules(docs, default_rules(text))
+    order = ordered(docs, _of_text(F.col("text")))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "kept", "_m")]
     out = docs.select(*rest, word_measures(text).alias("_m"), word_chars(text).alias("word_chars"),
                       symbols(text).alias("n_symbols"), dup_lines(text).alias("n_dup_lines"))
-    out = out.withColumns({"n_words": F.col("_m.n_words"), "n_repeat_words": F.col("_m.n_repeat_words")}).drop("_m")
+    out = out.withColumns({"n_words": F.col("_m.n_words"), "n_repeat_words": F.col("_m.n_repeat_words")})
     out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(rules)))
+    rules = text_rules(text, F.col("word_chars"), F.col("n_symbols"), F.col("n_dup_lines"))
+    verdict = cascade({"base": F.col("base_failed"), "stutter": stutters(F.col("n_words"), F.col("_m.n_stutter")),
+                       **{name: rules[name] for name in order}})
+    return out.withColumn("kept", verdict).drop("_m")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects; the base rule takes its place in the cascade."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.where(cascade(ordered_rules(docs, {**default_rules(text), **base_rules(text)})))
+    """The documents that no rule rejects; the rules on words share one split and stand as one."""
+    def all_rules(text: Column) -> dict[str, Column]:
+        by_words = bind(word_measures(text), lambda m: base_failed(m.getField("n_words"), m.getField("n_repeat_words"))
+                        | stutters(m.getField("n_words"), m.getField("n_stutter")))
+        return {**_of_text(text), "words": by_words}
+    rules = all_rules(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.where(cascade({name: rules[name] for name in ordered(docs, all_rules(F.col("text")))}))
