@@ -2,6 +2,7 @@
 
 from gradeloom.llm import (  # noqa: F401
     q_decontaminate,
+    q_jaccard_join,
     q_line_dedup,
     q_packing,
     q_quality_rules,
