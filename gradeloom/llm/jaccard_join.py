@@ -16,8 +16,7 @@ Only components are wanted, so a group of copies never lists its pairs:
 * round 1 compares the members of a posting list with its smallest member;
 * round 2 compares members that still carry different labels with a member drawn anew for each
   token, so a member meets as many others as it has tokens;
-* what is left, pairs of different components in one posting list, is enumerated once, each pair
-  at its first common token.
+* what is left, pairs of different components in one posting list, is enumerated once.
 
 Before B and C, a pair must pass two bounds.  A prefix token that no other document's prefix has
 is missing everywhere else, so a set can share at most its size less those (``reach``); under the
@@ -198,30 +197,26 @@ def _star(open_: DataFrame, draw: bool, percent: int) -> DataFrame:
     return met.select(F.least("d", "m.d").alias("x"), F.greatest("d", "m.d").alias("y")).distinct()
 
 
-def _rest(open_: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in one posting list that pass every filter, each once.
+def _rest(open_: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in one posting list that pass the length bound, each once.
 
-    Sizes within the length bound lie in the same or in neighbouring bands, so the band is part
-    of the join key.
+    Sizes within the bound lie in the same or in neighbouring bands, so the band is part of the
+    join key.  The rows are narrow; prefixes are fetched for the pairs that are left.
     """
-    cols = ("d", "n", "reach", "label", "a", "b", "c")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")
-    full = open_.join(heads.select("d", "a", "b", "c"), "d").withColumn("band", band)
-    x = full.select(F.col("token").alias("tx"), F.col("band").alias("bandx"), *[F.col(c).alias(f"{c}x") for c in cols])
-    y = full.select(F.col("token").alias("ty"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("bandy"),
-                    *[F.col(c).alias(f"{c}y") for c in cols])
+    cols = ("d", "n", "reach", "label")
+    banded = open_.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    x = banded.select(F.col("token").alias("tx"), F.col("band").alias("bandx"), *[F.col(c).alias(f"{c}x") for c in cols])
+    y = banded.select(F.col("token").alias("ty"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("bandy"),
+                      *[F.col(c).alias(f"{c}y") for c in cols])
     ok = ((F.col("dx") < F.col("dy")) & (F.col("labelx") != F.col("labely"))
-          & _near(F.col("nx"), F.col("reachx"), F.col("ny"), F.col("reachy"), percent)
-          & F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")
-          & (F.array_min(F.array_intersect("ax", "ay")) == F.col("tx"))
-          & _few_misses(F.col("ax"), F.col("nx"), F.col("ay"), F.col("ny"), percent))
+          & _near(F.col("nx"), F.col("reachx"), F.col("ny"), F.col("reachy"), percent))
     return x.join(y, (F.col("tx") == F.col("ty")) & (F.col("bandx") == F.col("bandy")) & ok).select(
-        F.col("dx").alias("x"), F.col("dy").alias("y"))
+        F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, label) of every representative that is linked with another one."""
-    entries = nodes.select(F.explode("a").alias("token"), F.col("doc_id").alias("d")).distinct()
+    entries = nodes.select(F.explode("a").alias("token"), F.col("doc_id").alias("d"))
     shared = entries.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("token")
     postings = materialise(entries.join(shared, "token", "left_semi"), "jj-postings")
     held = postings.groupBy("d").agg(F.count("*").alias("held"))
@@ -234,8 +229,8 @@ def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     found = labels = None
     for step in ("smallest", "drawn", "rest"):
         open_ = _open(live, labels)
-        pairs = _rest(open_, heads, percent) if step == "rest" else _filtered(_star(open_, step == "drawn", percent), heads, percent)
-        new = materialise(verified(pairs, texts, k, percent), "jj-links")
+        pairs = _rest(open_, percent) if step == "rest" else _star(open_, step == "drawn", percent)
+        new = materialise(verified(_filtered(materialise(pairs, "jj-pairs"), heads, percent), texts, k, percent), "jj-links")
         found = new if found is None else materialise(found.unionByName(new), "jj-links")
         labels = connected_components(found, "x", "y")
     return labels
