@@ -89,7 +89,7 @@ def bitmap(tokens: DataFrame) -> tuple[np.ndarray, list[int]]:
     return bits, sizes
 
 
-def _wanted(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+def wanted(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     low = tokens & np.uint64((1 << BITS) - 1)
     word = bits[(low >> np.uint64(6)).astype(np.int64)].view(np.uint64)
     return ((word >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
@@ -106,7 +106,7 @@ def shingle_counts(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataF
                 w = H.Words(raw, off, H.NOT_ALNUM)
                 for k in sizes:
                     g, _ = H.row_grams(w, k)
-                    found.append(g[_wanted(held.value, g)])
+                    found.append(g[wanted(held.value, g)])
             token, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
     counted = docs.select(F.col("text").cast("string")).mapInArrow(batches, "token bigint, n bigint")
@@ -134,7 +134,7 @@ def scanned(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int) ->
                 n_words[a:b] = w.count
                 for k in sizes:
                     g, at = H.row_grams(w, k)
-                    for i in np.flatnonzero(_wanted(held.value, g)):
+                    for i in np.flatnonzero(wanted(held.value, g)):
                         p, r = int(at[i]), int(w.row[at[i]])
                         lo, hi = max(int(w.first[r]), p - window + k), min(int(w.first[r] + w.count[r]), p + window)
                         around = [w.low[w.begin[j]:w.end[j]].tobytes().decode("utf-8") for j in range(lo, hi)]
@@ -185,3 +185,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             F.sha2(F.encode(F.coalesce("items", F.lit("")), "UTF-8"), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` without the contaminated ones; a row with a null doc_id stays."""
+    bad = contamination(docs, items, window, shingle).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti")

@@ -4,8 +4,11 @@ from gradeloom.llm import (  # noqa: F401
     q_decontaminate,
     q_jaccard_join,
     q_line_dedup,
+    q_license_scan,
     q_packing,
+    q_quality_qda,
     q_quality_rules,
+    q_secret_scan,
     q_shard_tree,
 )
 from gradeloom.llm.registry import ORACLES, QUERIES  # noqa: F401
