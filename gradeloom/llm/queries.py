@@ -2,6 +2,7 @@
 
 from gradeloom.llm import (  # noqa: F401
     q_decontaminate,
+    q_html_blocks,
     q_jaccard_join,
     q_line_dedup,
     q_license_scan,
