@@ -19,8 +19,9 @@ Only components are wanted, so a group of copies never lists its pairs:
 * what is left, pairs of different components in one posting list, is enumerated once.
 
 Before B and C, a pair must pass two bounds.  A prefix token that no other document's prefix has
-is missing everywhere else, so a set can share at most its size less those (``reach``); under the
-rarity order these are the edits of a near copy, and near misses fall by arithmetic.  And a prefix
+is missing everywhere else, and at a pair's first common token nothing before it is shared, so a
+set can share at most its size less those (``reach``); under the rarity order these are the edits
+of a near copy, and near misses fall by arithmetic.  And a prefix
 token below the other prefix's end that the other prefix lacks is surely missing from it.
 
 Joins are on tokens and ids, so a hot posting list is split by adaptive execution.  Prefix tokens
@@ -198,32 +199,29 @@ def _star(open_: DataFrame, draw: bool, percent: int) -> DataFrame:
 
 
 def _rest(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in one posting list that pass the length bound, each once.
+    """All pairs of different components in one posting list that pass the bounds, each once.
 
-    Sizes within the bound lie in the same or in neighbouring bands, so the band is part of the
-    join key.  The rows are narrow; prefixes are fetched for the pairs that are left.
+    The rows are narrow; prefixes are fetched for the pairs that are left.
     """
-    cols = ("d", "n", "reach", "label")
-    banded = open_.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    x = banded.select(F.col("token").alias("tx"), F.col("band").alias("bandx"), *[F.col(c).alias(f"{c}x") for c in cols])
-    y = banded.select(F.col("token").alias("ty"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("bandy"),
-                      *[F.col(c).alias(f"{c}y") for c in cols])
+    cols = ("token", "d", "n", "reach", "label")
+    x, y = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in cols]) for s in "xy")
     ok = ((F.col("dx") < F.col("dy")) & (F.col("labelx") != F.col("labely"))
           & _near(F.col("nx"), F.col("reachx"), F.col("ny"), F.col("reachy"), percent))
-    return x.join(y, (F.col("tx") == F.col("ty")) & (F.col("bandx") == F.col("bandy")) & ok).select(
-        F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
+    return x.join(y, (F.col("tokenx") == F.col("tokeny")) & ok).select(F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, label) of every representative that is linked with another one."""
-    entries = nodes.select(F.explode("a").alias("token"), F.col("doc_id").alias("d"))
+    entries = nodes.select(F.posexplode("a").alias("at", "token"), F.col("doc_id").alias("d"))
     shared = entries.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("token")
     postings = materialise(entries.join(shared, "token", "left_semi"), "jj-postings")
     held = postings.groupBy("d").agg(F.count("*").alias("held"))
     heads = materialise(
         nodes.select(F.col("doc_id").alias("d"), "n", "a", "b", "c").join(held, "d")
         .withColumn("reach", F.col("n") - F.size("a") + F.col("held")).drop("held"), "jj-heads")
-    live = materialise(postings.join(heads.select("d", "n", "reach"), "d"), "jj-live")
+    # at a pair's first common token, what stands before it on either side is not shared
+    live = materialise(postings.join(heads.select("d", "n", "reach"), "d").select(
+        "token", "d", "n", F.least("reach", F.col("n") - F.col("at")).alias("reach")), "jj-live")
     texts = materialise(docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
                         .join(heads.select("d").distinct(), "d", "left_semi"), "jj-texts")
     found = labels = None
