@@ -84,12 +84,10 @@ class CuckooFilter:
                 return True
             done = self._place(bucket, prints)
             prints, bucket = prints[~done], bucket[~done]
-            bucket = self._other(bucket, prints)
             if turn == 0 or not len(prints):
+                bucket = self._other(bucket, prints)
                 continue
-            done = self._place(bucket, prints)
-            prints, bucket = prints[~done], bucket[~done]
-            # both buckets are full: one waiting print per bucket swaps with a stored one
+            # the bucket is full: one waiting print swaps with a stored one, which goes on to its other bucket
             _, first = np.unique(bucket, return_index=True)
             slot = (turn + bucket[first]) % SLOTS
             out = self.table[bucket[first], slot].copy()

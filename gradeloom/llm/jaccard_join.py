@@ -247,7 +247,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return table.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(one, ["k1", "k2"], "left").select(
-        F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.coalesce("component_id", "doc_id").cast("bigint").alias("component_id"))
+        F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast("bigint").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
