@@ -64,7 +64,7 @@ def zip_criteria(axis_ids: Column, criteria: Column) -> Column:
 
 def numbered_items(text: Column) -> Column:
     """Texts of '1. ... 2. ...' items."""
-    return F.transform(F.slice(F.split(text, r"(?:^|\s)\d\.\s"), 2, 1_000), X.strip_ws)
+    return F.transform(F.filter(F.split(text, r"(?:^|\s)\d\.\s"), lambda _, i: i > 0), X.strip_ws)
 
 
 def section_records(blocks: DataFrame, doc: str = "doc", pos: str = "pos", min_words: int = 100) -> DataFrame:

@@ -60,7 +60,7 @@ def items(spark, essay="A genuine answer about several things."):
 def test_consensus_and_usage(spark, pool, prefixes):
     r = review.review_batch(items(spark), pool, prefixes, scorer([wire(4), wire(5), wire(5)]), samples=3).first()
     assert r["consensus"] == 5.0 and r["commentary"] == "commentary for 5" and r["samples"] == [4.0, 5.0, 5.0] and r["calls"] == 3
-    assert r["review"]["holistic_score"] == 5.0 and len(r["review"]["axis_assessments"]) == 5 and len(r["review"]["suggestions"]) == 3
+    assert r["review"]["holistic_score"] == 5.0 and len(r["review"]["axis_assessments"]) == 5 and len(r["review"]["suggestions"]) == 4
     two = review.review_batch(items(spark), pool, prefixes, scorer([wire(4), wire(4)]), samples=2).first()
     assert (two["cached"], two["output"]) == (17000, 2400)
 
