@@ -54,7 +54,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-# token ids and drawn components have no SQL; tests compare the stages with brute force
+# token ids have no SQL; tests compare each operator with plain code
 ORACLE_SQL = None
 
 
