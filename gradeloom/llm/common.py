@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import scratch_path
+
 # fixed values: the white space of [\x20\x09-\x0D] and the two cases of A-Z
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,3 +24,25 @@ def bind(value: Column, body) -> Column:
 
 def sha(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+class Scratch:
+    """Written tables of one run; one that nothing reads any more can be deleted before the run ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def put(self, tag: str, df: DataFrame) -> DataFrame:
+        """``df`` as a written table, in place of what was last put under ``tag``."""
+        path = scratch_path(self.spark, tag)
+        df.write.mode("error").parquet(path)
+        self.drop(tag)
+        self.paths[tag] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            if tag in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -44,8 +44,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import wordhash as H
+from gradeloom.llm.common import Scratch
 from gradeloom.operators.components import connected_components
-from gradeloom.session import materialise
 
 CELLS = 1 << 20
 BLOCK = 1 << 10
@@ -179,14 +179,16 @@ def _filtered(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         & _few_misses(F.col("ax"), F.col("nx"), F.col("ay"), F.col("ny"), percent)).select("x", "y")
 
 
-def _open(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(live: DataFrame, labels: DataFrame | None, tables: Scratch) -> DataFrame:
     """Postings whose token still joins different components, with the label of each member."""
     if labels is None:
         return live.withColumn("label", F.col("d"))
-    named = materialise(live.join(labels.select(F.col("id").alias("d"), "label"), "d", "left")
-                        .withColumn("label", F.coalesce("label", "d")), "jj-labelled")
+    named = tables.put("jj-labelled", live.join(labels.select(F.col("id").alias("d"), "label"), "d", "left")
+                       .withColumn("label", F.coalesce("label", "d")))
     still = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return materialise(named.join(still.select("token"), "token", "left_semi"), "jj-open")
+    open_ = tables.put("jj-open", named.join(still.select("token"), "token", "left_semi"))
+    tables.drop("jj-labelled")
+    return open_
 
 
 def _star(open_: DataFrame, draw: bool, percent: int) -> DataFrame:
@@ -210,43 +212,50 @@ def _rest(open_: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("tokenx") == F.col("tokeny")) & ok).select(F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
 
 
-def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, label) of every representative that is linked with another one."""
+def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Scratch) -> DataFrame:
+    """(id, label) of every representative that is linked with another one.
+
+    ``nodes`` stands on the table "jj-prefixes", which is deleted once postings and heads are written.
+    """
     entries = nodes.select(F.posexplode("a").alias("at", "token"), F.col("doc_id").alias("d"))
     shared = entries.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("token")
-    postings = materialise(entries.join(shared, "token", "left_semi"), "jj-postings")
+    postings = tables.put("jj-postings", entries.join(shared, "token", "left_semi"))
     held = postings.groupBy("d").agg(F.count("*").alias("held"))
-    heads = materialise(
-        nodes.select(F.col("doc_id").alias("d"), "n", "a", "b", "c").join(held, "d")
-        .withColumn("reach", F.col("n") - F.size("a") + F.col("held")).drop("held"), "jj-heads")
+    heads = tables.put(
+        "jj-heads", nodes.select(F.col("doc_id").alias("d"), "n", "a", "b", "c").join(held, "d")
+        .withColumn("reach", F.col("n") - F.size("a") + F.col("held")).drop("held"))
+    tables.drop("jj-prefixes")
     # at a pair's first common token, what stands before it on either side is not shared
-    live = materialise(postings.join(heads.select("d", "n", "reach"), "d").select(
-        "token", "d", "n", F.least("reach", F.col("n") - F.col("at")).alias("reach")), "jj-live")
-    texts = materialise(docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
-                        .join(heads.select("d").distinct(), "d", "left_semi"), "jj-texts")
+    live = tables.put("jj-live", postings.join(heads.select("d", "n", "reach"), "d").select(
+        "token", "d", "n", F.least("reach", F.col("n") - F.col("at")).alias("reach")))
+    tables.drop("jj-postings")
+    texts = tables.put("jj-texts", docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
+                       .join(heads.select("d").distinct(), "d", "left_semi"))
     found = labels = None
     for step in ("smallest", "drawn", "rest"):
-        open_ = _open(live, labels)
-        pairs = _rest(open_, percent) if step == "rest" else _star(open_, step == "drawn", percent)
-        new = materialise(verified(_filtered(materialise(pairs, "jj-pairs"), heads, percent), texts, k, percent), "jj-links")
-        found = new if found is None else materialise(found.unionByName(new), "jj-links")
+        open_ = _open(live, labels, tables)
+        pairs = tables.put("jj-pairs", _rest(open_, percent) if step == "rest" else _star(open_, step == "drawn", percent))
+        new = tables.put(f"jj-links-{step}", verified(_filtered(pairs, heads, percent), texts, k, percent))
+        found = new if found is None else found.unionByName(new)
         labels = connected_components(found, "x", "y")
+    tables.drop("jj-open", "jj-pairs", "jj-heads", "jj-live", "jj-texts")
     return labels
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
-    rows = docs.select("doc_id", "text")
-    table = materialise(prefixed(rows, k, percent, rarity_classes(rows, k)), "jj-prefixes")
+    rows, tables = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
+    table = tables.put("jj-prefixes", prefixed(rows, k, percent, rarity_classes(rows, k)))
+    sets = tables.put("jj-sets", table.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2"))
     real = table.where("doc_id is not null and n > 0")
-    reps = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "jj-reps")
+    reps = tables.put("jj-reps", real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     nodes = real.join(reps, (real["k1"] == reps["k1"]) & (real["k2"] == reps["k2"]) & (real["doc_id"] == reps["rep"]), "left_semi")
-    labels = links(nodes, rows.where("doc_id is not null"), k, percent)
+    labels = links(nodes, rows.where("doc_id is not null"), k, percent, tables)
     # rows of one doc_id are one node, so their sets share a label
     one = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return table.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(one, ["k1", "k2"], "left").select(
+    return sets.join(one, ["k1", "k2"], "left").select(
         F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast("bigint").alias("component_id"))
 
 
