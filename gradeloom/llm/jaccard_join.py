@@ -21,7 +21,9 @@ Only components are wanted, so a group of copies never lists its pairs:
 Before B and C, a pair must pass two bounds.  A prefix token that no other document's prefix has
 is missing everywhere else, and at a pair's first common token nothing before it is shared, so a
 set can share at most its size less those (``reach``); under the rarity order these are the edits
-of a near copy, and near misses fall by arithmetic.  And a prefix
+of a near copy, and near misses fall by arithmetic.  Each set also has 256 parity bits: a token
+flips one, so bits that differ are at most the tokens that only one side has, and members of a
+hot posting list that are unlike fall inside the join, before a row is made.  And a prefix
 token below the other prefix's end that the other prefix lacks is surely missing from it.
 
 Joins are on tokens and ids, so a hot posting list is split by adaptive execution.  Prefix tokens
@@ -35,7 +37,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -49,6 +53,7 @@ from gradeloom.operators.components import connected_components
 
 CELLS = 1 << 20
 BLOCK = 1 << 10
+PARITY = ("s0", "s1", "s2", "s3")
 
 
 def row_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -106,7 +111,7 @@ def _head(tokens: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
 
 
 def prefixed(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, a, b, c): set size and identity, and the prefix under each order.
+    """(doc_id, n, k1, k2, s0..s3, a, b, c): set size, identity and parity bits, and the prefix under each order.
 
     ``a`` has sorted ranks (rarity, then 56 bits of hash), which also name the tokens.  ``b`` and ``c`` keep 32 bits of a token: they only filter, and a chance match is compared.
     """
@@ -114,15 +119,18 @@ def prefixed(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> Data
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, ids, heads = [], [], ([], [], [])
+            n, ids, parity, heads = [], [], [], ([], [], [])
             for s in _text_sets(batch.column(1), k):
                 n.append(len(s))
                 if not len(s):
                     ids.append((None, None))
+                    parity.append(np.zeros(len(PARITY), np.int64))
                     for h in heads:
                         h.append([])
                     continue
                 ids.append(tuple(np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()))
+                flips = np.bincount((H.mix(s + np.uint64(3)) >> np.uint64(56)).astype(np.int64), minlength=64 * len(PARITY))
+                parity.append(np.packbits((flips & 1).astype(np.uint8)).view(np.int64))
                 p = prefix_length(len(s), percent)
                 rare = held.value[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                 other, third = H.mix(s + np.uint64(1)), H.mix(s + np.uint64(2))
@@ -132,10 +140,11 @@ def prefixed(docs: DataFrame, k: int, percent: int, classes: np.ndarray) -> Data
                 heads[2].append(_head(third, third, p).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()),
+                 *[pa.array([bits[i] for bits in parity], pa.int64()) for i in range(len(PARITY))],
                  pa.array(heads[0], pa.list_(pa.int64())), pa.array(heads[1], pa.list_(pa.int32())), pa.array(heads[2], pa.list_(pa.int32()))],
-                ["doc_id", "n", "k1", "k2", "a", "b", "c"])
+                ["doc_id", "n", "k1", "k2", *PARITY, "a", "b", "c"])
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        batches, "doc_id bigint, n bigint, k1 bigint, k2 bigint, a array<bigint>, b array<int>, c array<int>")
+        batches, "doc_id bigint, n bigint, k1 bigint, k2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, a array<bigint>, b array<int>, c array<int>")
 
 
 def _near(nx: Column, rx: Column, ny: Column, ry: Column, percent: int) -> Column:
@@ -144,6 +153,12 @@ def _near(nx: Column, rx: Column, ny: Column, ry: Column, percent: int) -> Colum
     return both * 100 >= (nx + ny - both) * percent
 
 
+def _alike(nx: Column, sx: list[Column], ny: Column, sy: list[Column], percent: int) -> Column:
+    """The parity bound: no more bits differ than tokens may be on one side only."""
+    differ = reduce(operator.add, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(sx, sy, strict=True)])
+    return differ <= nx + ny - 2 * F.ceil((nx + ny) * percent / (100 + percent))
+
+
 def _few_misses(ax: Column, nx: Column, ay: Column, ny: Column, percent: int) -> Column:
     """The positional bound under order A, for both sides."""
     need = F.ceil((nx + ny) * percent / (100 + percent))
@@ -194,8 +209,9 @@ def _open(live: DataFrame, labels: DataFrame | None, tables: Scratch) -> DataFra
 def _star(open_: DataFrame, draw: bool, percent: int) -> DataFrame:
     """Each member against the smallest member of its posting list, or against one drawn per token."""
     first = F.xxhash64("d", "token") if draw else F.col("d")
-    centre = open_.groupBy("token").agg(F.min(F.struct(first.alias("h"), "d", "n", "reach", "label")).alias("m"))
-    near = _near(F.col("n"), F.col("reach"), F.col("m.n"), F.col("m.reach"), percent)
+    centre = open_.groupBy("token").agg(F.min(F.struct(first.alias("h"), "d", "n", "reach", "label", *PARITY)).alias("m"))
+    near = _near(F.col("n"), F.col("reach"), F.col("m.n"), F.col("m.reach"), percent) & _alike(
+        F.col("n"), [F.col(c) for c in PARITY], F.col("m.n"), [F.col(f"m.{c}") for c in PARITY], percent)
     met = open_.join(centre, "token").where((F.col("label") != F.col("m.label")) & near)
     return met.select(F.least("d", "m.d").alias("x"), F.greatest("d", "m.d").alias("y")).distinct()
 
@@ -205,10 +221,11 @@ def _rest(open_: DataFrame, percent: int) -> DataFrame:
 
     The rows are narrow; prefixes are fetched for the pairs that are left.
     """
-    cols = ("token", "d", "n", "reach", "label")
+    cols = ("token", "d", "n", "reach", "label", *PARITY)
     x, y = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in cols]) for s in "xy")
     ok = ((F.col("dx") < F.col("dy")) & (F.col("labelx") != F.col("labely"))
-          & _near(F.col("nx"), F.col("reachx"), F.col("ny"), F.col("reachy"), percent))
+          & _near(F.col("nx"), F.col("reachx"), F.col("ny"), F.col("reachy"), percent)
+          & _alike(F.col("nx"), [F.col(f"{c}x") for c in PARITY], F.col("ny"), [F.col(f"{c}y") for c in PARITY], percent))
     return x.join(y, (F.col("tokenx") == F.col("tokeny")) & ok).select(F.col("dx").alias("x"), F.col("dy").alias("y")).distinct()
 
 
@@ -222,12 +239,12 @@ def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Scrat
     postings = tables.put("jj-postings", entries.join(shared, "token", "left_semi"))
     held = postings.groupBy("d").agg(F.count("*").alias("held"))
     heads = tables.put(
-        "jj-heads", nodes.select(F.col("doc_id").alias("d"), "n", "a", "b", "c").join(held, "d")
+        "jj-heads", nodes.select(F.col("doc_id").alias("d"), "n", *PARITY, "a", "b", "c").join(held, "d")
         .withColumn("reach", F.col("n") - F.size("a") + F.col("held")).drop("held"))
     tables.drop("jj-prefixes")
     # at a pair's first common token, what stands before it on either side is not shared
-    live = tables.put("jj-live", postings.join(heads.select("d", "n", "reach"), "d").select(
-        "token", "d", "n", F.least("reach", F.col("n") - F.col("at")).alias("reach")))
+    live = tables.put("jj-live", postings.join(heads.select("d", "n", "reach", *PARITY), "d").select(
+        "token", "d", "n", *PARITY, F.least("reach", F.col("n") - F.col("at")).alias("reach")))
     tables.drop("jj-postings")
     texts = tables.put("jj-texts", docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
                        .join(heads.select("d").distinct(), "d", "left_semi"))
