@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gradeloom.llm import decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, packing, quality_qda, quality_rules, secret_scan, shard_tree
 from gradeloom.llm.cuckoo import CuckooFilter
 
@@ -281,3 +282,57 @@ def test_page_text(spark):
         assert got[i].text == f"Head {i}\n\nFirst bold text <{i}>. More.\n\nSecond one of {i}."
     assert got[100].text == got[101].text == "" and got[100].n_chars == 0
     assert html_blocks.extracted(pages.limit(0)).collect() == []
+
+
+def plain_pipeline(texts, items):
+    """doc_id to text after the first four stages, by plain loops; the texts break base rules or none."""
+    def good(t):
+        w, places = re.findall(r"[^\x20\x09-\x0D]+", t or ""), {}
+        for a in range(len(w) - 4):
+            places.setdefault(tuple(w[a:a + 5]), []).append(a)
+        covered = {a + j for at in places.values() if len(at) > 1 for a in at for j in range(5)}
+        return len(w) >= 10 and 100 * len(covered) <= 20 * len(w)
+    held = {d: t for d, t in texts.items() if good(t)}
+    held = {d: t for d, (t, _, _) in plain_lines(held).items()}
+    label = {d: d for d in held}
+    sets = {d: shingles(t, 5) for d, t in held.items()}
+    for a, b in itertools.combinations(sorted(held), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = {d: low if x == high else x for d, x in label.items()}
+    held = {d: t for d, t in held.items() if label[d] == d}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    windows = set()
+    for v in map(words, items):
+        n = min(10, len(v))
+        windows |= {tuple(v[a:a + n]) for a in range(len(v) - n + 1) if v}
+    return {d: t for d, t in held.items()
+            if not any(tuple(w[b:b + n]) in windows for w in [words(t)] for n in {len(x) for x in windows} for b in range(len(w) - n + 1))}
+
+
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    text = lambda lines: "\n".join(" ".join(word() for _ in range(12)) for _ in range(lines))
+    items, common = [" ".join(word() for _ in range(25)) for _ in range(3)], " ".join(word() for _ in range(12))
+    rows = [*EDGE, "a b c d e " * 8]
+    for i in range(24):
+        base = text(9)
+        rows.append(f"{base}\n{common}" if i % 4 == 0 else f"{base}\n{items[i % 3]}" if i % 4 == 1 else base)
+        if i % 3 == 0:  # a pair of near copies: below the three documents that line dedup asks for
+            rows.append(rows[-1].replace(base.split()[30], word(), 1))
+        if i % 8 == 2:
+            rows += [base, base]
+    texts = dict(enumerate(rows))
+    docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = plain_pipeline(texts, items)
+    assert 10 < len(want) < len(texts) - len(EDGE)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encode = Tokenizer.from_file(VOCAB).encode
+    expected = set()
+    for d, t in want.items():
+        ids = [*encode(t, add_special_tokens=False).ids, 0]
+        expected |= {(d, a // 2048, a, len(ids[a:a + 2048]), zlib.crc32(np.array(ids[a:a + 2048], "<u4").tobytes())) for a in range(0, len(ids), 2048)}
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(expected)
