@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.session import materialise
+from gradeloom.session import delete_table, write_table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,12 +14,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round lowers a node's label to the smallest one among its neighbours and, one
     step further, to that label's own label.  Both are equi joins against a table with
     unique ids plus a mergeable minimum, so a hub costs one partial row per task.  Every
-    round is written out: a lost executor costs one round.  Labels only fall, so it ends.
+    round is written out: a lost executor costs one round, and the round before it is
+    deleted.  Labels only fall, so it ends.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = materialise(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    spark = edges.sparkSession
+    both, both_path = write_table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     first = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
-    labels = materialise(first.select("id", F.least("id", "near").alias("label")), "cc-labels")
+    labels, path = write_table(first.select("id", F.least("id", "near").alias("label")), "cc-labels")
     while True:
         near = (
             both.join(labels.withColumnRenamed("id", "b"), "b")
@@ -27,8 +29,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         beyond = labels.select(F.col("id").alias("near"), F.col("label").alias("via"))
         lowered = labels.join(near, "id").join(beyond, "near")
-        rounded = materialise(
+        rounded, new_path = write_table(
             lowered.select("id", F.col("label").alias("old"), F.least("label", "near", "via").alias("label")), "cc-labels")
-        labels = rounded.select("id", "label")
+        delete_table(spark, path)
+        labels, path = rounded.select("id", "label"), new_path
         if rounded.where("old <> label").limit(1).count() == 0:
+            delete_table(spark, both_path)
             return labels

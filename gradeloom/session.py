@@ -51,9 +51,20 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage by writing a table: survives lost executors and carries file sizes."""
+def write_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` as a written table, and its path for ``delete_table``."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Cut lineage by writing a table: survives lost executors and carries file sizes."""
+    return write_table(df, tag)[0]
