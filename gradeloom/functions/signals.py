@@ -23,12 +23,15 @@ FORMULAIC = [
     "in today's world", "in modern society", "since the dawn", "multifaceted", "delve into",
     "plays a pivotal role", "it is worth noting",
 ]
-STOPWORDS = (
-    "the a an and or but if of to in on at for with by from as is are was were be been being that this these "
-    "those it its they them their we our you your he she his her not no can could will would should may might "
-    "must do does did have has had than then so such more most some any all there which who what when where "
-    "how why about into through during own same other only also very one two people"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "if", "of", "to", "in", "on", "at", "for", "with", "by", "from", "as",
+    "is", "are", "was", "were", "be", "been", "being", "that", "this", "these", "those", "it", "its", "they",
+    "them", "their", "we", "our", "you", "your", "he", "she", "his", "her", "not", "no", "can", "could", "will",
+    "would", "should", "may", "might", "must", "do", "does", "did", "have", "has", "had", "than", "then", "so",
+    "such", "more", "most", "some", "any", "all", "there", "which", "who", "what", "when", "where", "how",
+    "why", "about", "into", "through", "during", "own", "same", "other", "only", "also", "very", "one", "two",
+    "people",
+]
 YEAR = r"\b(1[0-9]{3}|20[0-9]{2})\b"
 FIGURE = r"(?i)\b\d+(?:\.\d+)?\s?(?:percent|%|million|billion)\b"
 OFF_TOPIC_BELOW = 0.15
