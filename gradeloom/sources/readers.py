@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,34 +13,61 @@ from pyspark.sql.utils import AnalysisException
 from gradeloom import schema as S
 
 
+# array files from elsewhere, and the two layouts that ``writers.write_stage`` writes
+STAGE_SUFFIXES = (".json", ".jsonl", ".parquet")
+
+
+def _stage_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of one stage path or glob, by its suffix; None where nothing is there."""
+    reader = spark.read.schema(S.ESSAY if path.endswith(".parquet") else S.STAGE_JSON)
+    try:
+        if path.endswith(".parquet"):
+            return reader.parquet(path)
+        return reader.option("multiLine", path.endswith(".json")).json(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+
+
 def stages(spark: SparkSession, folder: str) -> DataFrame:
-    """All stage files as one DataFrame with an ingest ordinal (file name, then row in the file)."""
-    raw = spark.read.schema(S.STAGE_JSON).option("multiLine", True).json(f"{folder.rstrip('/')}/stage_*.json")
-    raw = raw.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_mid"))
-    # File names come from the scan's own listing, so numbering them costs no second read.
-    names = sorted({unquote(path.rsplit("/", 1)[-1]) for path in raw.inputFiles()})
+    """All stages of a folder as one DataFrame with an ingest ordinal (file, then row in the file).
+
+    Parquet numbers its rows itself.  A split of a text file counts from the byte at which it
+    starts, so pieces of one large file keep their order and never share an ordinal: a row has
+    more than one byte.
+    """
+    found = [_stage_rows(spark, f"{folder.rstrip('/')}/stage_*{suffix}") for suffix in STAGE_SUFFIXES]
+    found = [df for df in found if df is not None]
+    if not found:
+        return spark.createDataFrame([], S.ESSAY).withColumn("ordinal", F.lit(None).cast("bigint"))
+    # File names come from the scans' own listings, so numbering them costs no second read.
+    inside = r"/(stage_[^/]+(?:/[^/]+)?)$"
+    names = sorted({re.search(inside, unquote(path))[1] for df in found for path in df.inputFiles()})
     files = spark.createDataFrame(list(enumerate(names)), "_no int, _file string")
-    row = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = raw.join(files, "_file").withColumn("ordinal", F.col("_no") * F.lit(1 << 33) + row).drop("_file", "_mid", "_no")
-    return _typed(placed)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+    def placed(df: DataFrame) -> DataFrame:
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        has_index = "row_index" in df.select("_metadata").schema["_metadata"].dataType.names
+        at = F.col("_metadata.row_index") if has_index else F.col("_metadata.file_block_start") + row
+        return _typed(df.select("*", F.regexp_extract(path, inside, 1).alias("_file"), at.alias("_row")))
+    every = union_stages(*[placed(df) for df in found])
+    return every.join(files, "_file").withColumn("ordinal", F.col("_no") * F.lit(1 << 42) + F.col("_row")).drop("_file", "_row", "_no")
 
 
 def _typed(df: DataFrame) -> DataFrame:
     out = S.nulls_for_blank(df)
     return out.withColumns({
         "score": F.col("score").try_cast("double"),
-        "collected_at": F.try_to_date("collected_at", "yyyy-MM-dd"),
+        "collected_at": F.try_to_date(F.col("collected_at").cast("string"), "yyyy-MM-dd"),
     })
 
 
 def stage(spark: SparkSession, path: str) -> DataFrame:
-    """One stage file, or an empty DataFrame of the same schema when it is missing."""
-    try:
-        return _typed(spark.read.schema(S.STAGE_JSON).option("multiLine", True).json(path))
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], S.ESSAY)
+    """One stage, or an empty DataFrame of the same schema when it is missing."""
+    rows = _stage_rows(spark, path)
+    return spark.createDataFrame([], S.ESSAY) if rows is None else _typed(rows)
 
 
 def corpus_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

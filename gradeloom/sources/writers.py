@@ -22,7 +22,8 @@ def write_corpus(df: DataFrame, folder: str) -> None:
 
 
 def write_stage(df: DataFrame, folder: str, name: str, fmt: str = "json") -> str:
-    path = f"{folder.rstrip('/')}/stage={name}"
+    """A stage that ``readers.stages`` and ``readers.stage`` load again: JSON lines or Parquet."""
+    path = f"{folder.rstrip('/')}/stage_{name}.{'jsonl' if fmt == 'json' else fmt}"
     df.write.mode("overwrite").format(fmt).save(path)
     return path
 

@@ -171,3 +171,14 @@ def test_ceiling(spark):
     log = spark.createDataFrame(rows, "endpoint string, client string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = jobs.ceiling_breaches(log, {"review": jobs.PAID_LIMIT}).collect()
     assert [(r["endpoint"], r["calls"], r["blocked"]) for r in got] == [("review", 15, 12)]
+
+
+def test_stage_round_trip(spark, tmp_path):
+    rows = [(f"e{i}", "text", 4.5) for i in range(5)]
+    e = spark.createDataFrame(rows, "essay_id string, essay_text string, score double").repartition(3)
+    (tmp_path / "stage_a.json").write_text(json.dumps([{"essay_id": "first", "score": "3.5"}]))
+    lines, table = (writers.write_stage(e, str(tmp_path), n, f) for n, f in (("b", "json"), ("c c", "parquet")))
+    for path in (lines, table):
+        assert sorted((r["essay_id"], r["score"]) for r in readers.stage(spark, path).collect()) == [(r[0], r[2]) for r in rows]
+    every = readers.stages(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert len(every) == 11 and every[0]["essay_id"] == "first" and len({r["ordinal"] for r in every}) == 11
