@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,7 +15,7 @@ from gradeloom.functions import text as X
 
 # ---- fixed values: markup roles, widget classes and page wording --------------------------
 BLOCK_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "div", "article", "section", "title",
-              "footer", "nav", "span"}
+              "footer", "nav"}
 CLOSED_BY_NEXT = {"p": {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "div", "article", "section",
                         "footer", "nav", "ul", "table"}, "li": {"li"}, "td": {"td", "tr"}}
 VOID_TAGS = {"br", "img", "hr", "meta", "link", "input"}
@@ -93,7 +94,7 @@ def html_blocks(pages: pd.Series) -> pd.Series:
         parser = _Blocks()
         parser.feed(html)
         parser.close()
-        return [{"tag": t, "cls": c, "text": " ".join(s)} for t, c, s in parser.blocks if s]
+        return [{"tag": t, "cls": c, "text": unicodedata.normalize("NFKC", " ".join(s))} for t, c, s in parser.blocks if s]
 
     return pages.map(one)
 

@@ -152,3 +152,19 @@ def test_zip_criteria(spark):
     df = spark.createDataFrame([(["a", "b"], ["1", "2", "3"]), ([], ["1"])], "x array<string>, y array<string>")
     assert [len(r[0]) for r in df.select(segments.zip_criteria(F.col("x"), F.col("y"))).collect()] == [2, 0]
     assert json.dumps([list(r[0]) for r in df.select(segments.numbered_items(F.lit("1. a 2. b c"))).collect()][0]) == '["a", "b c"]'
+
+
+def test_leading_run_repeats_until_stable(spark):
+    texts = ["Essay\n\nPrompt:\nWrite a response in which you agree. Be sure to explain why! My view is plain.\nEnd.",
+             "Be sure to explain it\n\nBody.", "Discuss what questions", "No label here. Be sure to explain later.", None, "", "Response:\n"]
+    got = [r and (r["moved"], r["rest"]) for r in (x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        T.strip_leading_instructions(F.col("t"))).collect())]
+    assert got[0] == ("Write a response in which you agree. Be sure to explain why!", "My view is plain.\nEnd.")
+    assert got[1] == ("Be sure to explain it", "Body.") and got[2] == ("Discuss what questions", "")
+    assert got[3] == ("", texts[3]) and got[4][1] is None and got[5] == ("", "") and got[6] == ("", "")
+
+
+def test_inline_span_keeps_its_block(spark):
+    page = "<h3><span>Prompt 1</span></h3><p>Hello <span>important</span> ﬁne tail</p>"
+    got = spark.createDataFrame([(page,)], "h string").select(H.html_blocks("h").alias("b")).first()["b"]
+    assert [(b["tag"], b["text"]) for b in got] == [("h3", "Prompt 1"), ("p", "Hello important fine tail")]
