@@ -21,10 +21,24 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str =
 
 
 def harvest(stream: DataFrame, id_col: str = "id", ts: str = "ts", delay: str = "30 days") -> DataFrame:
-    """Rows whose id has not been seen within the watermark; state is bounded by ``delay``."""
+    """Rows whose id has not been seen within the watermark, for streams in flight; ``harvest_into`` has no age."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
+def harvest_into(stream: DataFrame, path: str, checkpoint: str, id_col: str = "id") -> None:
+    """Append rows whose id the sink does not hold yet, however old it is; then stop.
+
+    Each micro-batch is anti-joined with the sink, so a batch that runs again adds nothing twice.
+    """
+    def append(batch: DataFrame, _: int) -> None:
+        seen = batch.sparkSession.read.schema(batch.schema).parquet(path).select(id_col)
+        fresh = batch.dropDuplicates([id_col]).join(seen, id_col, "left_anti")
+        fresh.select(*batch.columns).write.mode("append").parquet(path)
+
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(path)
+    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def ceiling_breaches(stream: DataFrame, limits: dict[str, int], default: int = LIGHT_LIMIT, endpoint: str = "endpoint",
                      client: str = "client", ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Windows in which a client exceeded an endpoint's ceiling.
