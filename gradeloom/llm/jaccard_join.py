@@ -18,13 +18,15 @@ Only components are wanted, so a group of copies never lists its pairs:
   token, so a member meets as many others as it has tokens;
 * what is left, pairs of different components in one posting list, is enumerated once.
 
-Before B and C, a pair must pass two bounds.  A prefix token that no other document's prefix has
-is missing everywhere else, and at a pair's first common token nothing before it is shared, so a
-set can share at most its size less those (``reach``); under the rarity order these are the edits
-of a near copy, and near misses fall by arithmetic.  Each set also has 256 parity bits: a token
-flips one, so bits that differ are at most the tokens that only one side has, and members of a
-hot posting list that are unlike fall inside the join, before a row is made.  And a prefix
-token below the other prefix's end that the other prefix lacks is surely missing from it.
+Before B and C, a pair must pass bounds.  At a pair's first common token under A nothing before
+it is shared, so the pair shares at most what each side has from there on (``reach`` of a
+posting); under the rarity order the edits of a near copy stand before it, and near misses fall
+by arithmetic.  A later common token gives a smaller bound, but the first one is a posting of
+both too.  A token that no other prefix has may stand behind another document's prefix, so it
+counts for nothing by itself.  Each set also has 256 parity bits: a token flips one, so bits that
+differ are at most the tokens that only one side has, and members of a hot posting list that are
+unlike fall inside the join, before a row is made.  And a prefix token below the other prefix's
+end that the other prefix lacks is surely missing from it.
 
 Joins are on tokens and ids, so a hot posting list is split by adaptive execution.  Prefix tokens
 are written once; texts are shuffled once, for documents that have a posting in common.
@@ -237,14 +239,12 @@ def links(nodes: DataFrame, docs: DataFrame, k: int, percent: int, tables: Scrat
     entries = nodes.select(F.posexplode("a").alias("at", "token"), F.col("doc_id").alias("d"))
     shared = entries.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("token")
     postings = tables.put("jj-postings", entries.join(shared, "token", "left_semi"))
-    held = postings.groupBy("d").agg(F.count("*").alias("held"))
-    heads = tables.put(
-        "jj-heads", nodes.select(F.col("doc_id").alias("d"), "n", *PARITY, "a", "b", "c").join(held, "d")
-        .withColumn("reach", F.col("n") - F.size("a") + F.col("held")).drop("held"))
+    heads = tables.put("jj-heads", nodes.select(F.col("doc_id").alias("d"), "n", *PARITY, "a", "b", "c").join(
+        postings.select("d").distinct(), "d", "left_semi"))
     tables.drop("jj-prefixes")
     # at a pair's first common token, what stands before it on either side is not shared
-    live = tables.put("jj-live", postings.join(heads.select("d", "n", "reach", *PARITY), "d").select(
-        "token", "d", "n", *PARITY, F.least("reach", F.col("n") - F.col("at")).alias("reach")))
+    live = tables.put("jj-live", postings.join(heads.select("d", "n", *PARITY), "d").select(
+        "token", "d", "n", *PARITY, (F.col("n") - F.col("at")).alias("reach")))
     tables.drop("jj-postings")
     texts = tables.put("jj-texts", docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
                        .join(heads.select("d").distinct(), "d", "left_semi"))

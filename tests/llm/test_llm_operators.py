@@ -59,6 +59,24 @@ def test_jaccard_components_equal_all_pairs(spark, k, percent):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_jaccard_links_appended_and_truncated_copies(spark, k, percent):
+    size, texts = 90 if percent == 90 else 80, []
+    for i in range(4):
+        base = [f"b{i}x{j}" for j in range(size + k - 1)]
+        cut = [f"c{i}x{j}" for j in range(100 + k - 1)]
+        for extra in (100 - size, (100 - size) // 2):
+            own = [f"{w}e{extra}" for w in base]
+            texts += [" ".join(own), " ".join(own + [f"e{extra}x{i}x{j}" for j in range(extra)])]
+            other = [f"{w}e{extra}" for w in cut]
+            texts += [" ".join(other), " ".join(other[extra:])]
+        # one shingle too many on one side
+        texts += [" ".join(f"{w}f" for w in base), " ".join([f"{w}f" for w in base] + [f"f{i}x{j}" for j in range(101 - size)])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs(spark, texts), k, percent).collect()}
+    want = {i: i if i % 10 >= 8 else i - i % 2 for i in range(len(texts))}
+    assert got == want
+
+
 def test_jaccard_empty_and_null(spark):
     assert jaccard_join.components(docs(spark, []), 5, 80).collect() == []
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
