@@ -1,15 +1,21 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is layer zero.  From each layer the worklist takes the layers it hides: percent escapes
-and Unicode or numeric character escapes decoded in place, and base64 runs that decode to
-readable text, directly or after gzip, zlib or raw bzip2/xz decompression.  Each new layer is
-scanned with the same patterns and put on the worklist, until nothing new appears.  A layer that
+and Unicode or numeric character escapes decoded in place, and the readable stretches of what base64
+runs hold, directly or after gzip, zlib or raw bzip2/xz decompression.  A run is read line by line
+and joined over single line breaks, from each of its four alignments, so a name before it
+('config/...') does not put it out of step.  Each new layer is scanned with the same patterns and put on the worklist, until nothing new appears.  A layer that
 was seen before at the same place is not taken again, so cycles end.
 
 Every layer carries, per character, the piece of the original text it stands for, so a secret
 found deep inside maps to a span of the document.  Texts are handled one by one in map tasks: no
-shuffle, memory of one text and its layers.  A compressed layer of more than ``MAX_LAYER`` bytes
-is left undecoded as a decompression bomb; nothing else is bounded.
+shuffle.  Compressed layers have no size limit: all their members are unpacked ``CHUNK`` bytes at a
+time and handed on in pieces cut where no secret, run or escape can stand, so memory is that of
+one text and its layers, and of the longest unbroken run of an unpacked one.  A stream that does
+not reach its end is no layer.
+
+A stretch is at least ``MIN_RUN`` ASCII characters, in one byte or in UTF-16: secrets are ASCII and
+no shorter, and neither is anything that can be decoded further.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each; a span found
 in several layers is given once; other columns are not read; an empty table gives no rows.
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import itertools
 import lzma
 import re
 import zlib
@@ -31,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ["assign", "access", "hex"]
-MAX_LAYER = 1 << 26
+CHUNK = 1 << 20
 MIN_RUN = 16
 
 # fixed values: the patterns of the three kinds
@@ -41,7 +48,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uU]([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN)
+LETTER = "[A-Za-z0-9+/_-]"
+BASE64 = re.compile(LETTER + "{%d,}={0,2}" % MIN_RUN)
+WRAPPED = re.compile(rf"(?<!{LETTER}){LETTER}++(?:\r?\n[ \t]*+{LETTER}++)++={{0,2}}")
+BLANKS = re.compile(r"[ \t\r\n]+")
+CUTS = re.compile("[/_-]")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % MIN_RUN)
+WIDE = re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){%d,}|(?:[\t\n\r\x20-\x7e]\x00){%d,}" % (MIN_RUN, MIN_RUN))
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+# bytes that no secret, run or escape holds, in one byte or in UTF-16, as 1
+APART = bytes(0 if chr(b) in "\0\t\n\r \"'%&#;\\{}+/_.=:-" or chr(b).isascii() and chr(b).isalnum() else 1 for b in range(256))
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -95,16 +112,20 @@ def percent_layer(layer: Layer) -> Layer | None:
     """Percent escapes decoded in place; bytes that are no UTF-8 stay as they are."""
     edits = []
     for m in PERCENT.finditer(layer.text):
-        try:
-            decoded = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        chars, at = [], m.start()
-        for c in decoded:
-            width = 3 * len(c.encode("utf-8"))
-            chars.append((c, at, at + width))
+        chars, first, at = [], m.start(), m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            kept = 0xDC80 <= ord(c) <= 0xDCFF
+            width = 3 if kept else 3 * len(c.encode("utf-8"))
+            if not kept:
+                chars.append((c, at, at + width))
+            elif chars:
+                edits.append((first, at, chars))
+                chars = []
             at += width
-        edits.append((m.start(), m.end(), chars))
+            if kept:
+                first = at
+        if chars:
+            edits.append((first, at, chars))
     return _replaced(layer, edits)
 
 
@@ -125,70 +146,154 @@ def escape_layer(layer: Layer) -> Layer | None:
     return _replaced(layer, [e for e in edits if not 0xD800 <= ord(e[2][0][0]) < 0xE000])
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """Decompressed bytes, or None if ``data`` is not compressed (or a bomb)."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-            tool = zlib.decompressobj(zlib.MAX_WBITS | 32)
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        else:
-            return None
-        out = tool.decompress(data, MAX_LAYER)
-        return out if tool.eof else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
-
-
-def _readable(data: bytes) -> str | None:
+def _member(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """Chunks of the compressed member at ``at``, each with the place where the member ends, 0 until it does."""
+    if data[at] == 0x42:
+        tool = bz2.BZ2Decompressor()
+    elif data[at] == 0xFD:
+        tool = lzma.LZMADecompressor()
+    else:
+        tool = zlib.decompressobj(zlib.MAX_WBITS | 32)
+    feed = data[at:]
+    while not tool.eof:
+        out = tool.decompress(feed, CHUNK)
+        feed = getattr(tool, "unconsumed_tail", b"")
+        if not (out or feed or tool.eof):
+            raise EOFError
+        yield out, len(data) - len(tool.unused_data) if tool.eof else 0
+
+
+def _members(data: bytes, at: int) -> tuple[list[int], int]:
+    """Starts of the whole members that follow one another from ``at``, and the end of the last."""
+    starts, end = [], at
+    while PACKED.match(data, at):
+        try:
+            for _, end_here in _member(data, at):
+                pass
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            break
+        starts.append(at)
+        at = end = end_here
+        while data[at:at + 1] == b"\0":  # padding between members
+            at += 1
+    return starts, end
+
+
+def _cut(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream in pieces of about ``CHUNK`` bytes, cut only where nothing that counts can stand."""
+    held = bytearray()
+    for chunk in chunks:
+        before = max(len(held) - 1, 0)
+        held += chunk
+        if len(held) >= CHUNK:
+            new = bytes(held[before:])
+            at = max(new.translate(APART).rfind(1), new.rfind(b"\0\0"), new.rfind(b"\n\n")) + 1
+            if at:
+                yield bytes(held[:before + at])
+                del held[:before + at]
+    if held:
+        yield bytes(held)
+
+
+def _stretches(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Readable text of ``data`` with the first byte of each character and the byte after it: all of it, or stretches."""
+    if len(data) < MIN_RUN:
+        return
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) else None
+        text = "\0"
+    if not CONTROL.search(text):
+        widths = np.array([len(c.encode("utf-8")) for c in text]) if len(text) < len(data) else np.ones(len(text), np.int64)
+        stop = np.cumsum(widths)
+        yield text, stop - widths, stop
+        return
+    for m in PLAIN.finditer(data):
+        first = np.arange(m.start(), m.end())
+        yield m[0].decode("ascii"), first, first + 1
+    for m in WIDE.finditer(data):
+        text = m[0].replace(b"\0", b"").decode("ascii")
+        first = m.start() + 2 * np.arange(len(text))
+        yield text, first, first + 2
+
+
+def _run_layers(layer: Layer, start: int, end: int) -> Iterator[Layer]:
+    """Layers of the run in [start, end), blanks aside, from each alignment."""
+    text = layer.text[start:end]
+    place = np.arange(start, end)
+    if BLANKS.search(text):
+        blank = np.zeros(end - start, bool)
+        for m in BLANKS.finditer(text):
+            blank[m.start():m.end()] = True
+        text, place = BLANKS.sub("", text), place[~blank]
+    run = text.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) < MIN_RUN:
+        return
+    # a name may end at one of these letters and the encoded text begin behind it
+    cuts = [m.end() for m in CUTS.finditer(text)]
+    for skip in range(4):
+        own = run[skip:]
+        own = own[:len(own) - (len(own) % 4 == 1)]
+        data = base64.b64decode(own + "=" * (-len(own) % 4))
+        at = place[skip:]
+        lay = lambda i: at[4 * (i // 3)]  # noqa: B023, E731
+        past = lambda i: at[np.minimum(4 * -(-i // 3), len(at)) - 1]  # noqa: B023, E731
+        begins = np.array([3 * ((c - skip) // 4) for c in cuts if c % 4 == skip], np.int64)
+        whole = False
+        for t, first, stop in _stretches(data):
+            whole = whole or int(stop[-1] - first[0]) == len(data)
+            starts, ends = layer.starts[lay(first)], layer.ends[past(stop)]
+            yield Layer(t, starts, ends)
+            within = begins[np.searchsorted(begins, first[0], "right"):np.searchsorted(begins, stop[-1])]
+            edges = [*np.unique(np.searchsorted(first, within)), len(t)]
+            for a, b in itertools.pairwise(edges):
+                if b - a >= MIN_RUN:
+                    yield Layer(t[a:b], starts[a:b], ends[a:b])
+        m = None if whole else PACKED.search(data)
+        while m:
+            starts, stop = _members(data, m.start())
+            if starts:
+                a, b = layer.starts[lay(m.start())], layer.ends[past(stop)]
+                chunks = (chunk for s in starts for chunk, _ in _member(data, s))
+                for piece in _cut(chunks):
+                    for t, _, _ in _stretches(piece):
+                        yield Layer(t, np.broadcast_to(a, len(t)), np.broadcast_to(b, len(t)))
+            m = PACKED.search(data, max(stop, m.start() + 1))
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
-    """One layer per base64 run that hides readable or compressed text."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        text = _readable(data)
-        if text is not None:
-            # a character stands for the quanta of four letters that hold its bytes
-            widths = np.array([len(c.encode("utf-8")) for c in text])
-            stop = np.cumsum(widths)
-            first = m.start() + 4 * ((stop - widths) // 3)
-            last = np.minimum(m.start() + 4 * (-(-stop // 3)), m.end()) - 1
-            yield Layer(text, layer.starts[first], layer.ends[last])
-            continue
-        inner = _unpacked(data)
-        text = _readable(inner) if inner else None
-        if text is not None:
-            start, end = layer.span(m.start(), m.end())
-            yield Layer(text, np.full(len(text), start), np.full(len(text), end))
+    """The layers that base64 runs hide, of single lines and joined over line breaks."""
+    for pattern in (BASE64, WRAPPED):
+        for m in pattern.finditer(layer.text):
+            yield from _run_layers(layer, m.start(), m.end())
+
+
+def _hidden(layer: Layer) -> Iterator[Layer]:
+    for decoded in (percent_layer, escape_layer):
+        inner = decoded(layer)
+        if inner is not None:
+            yield inner
+    yield from base64_layers(layer)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, each by start, kind and end."""
     base = find(text)
     found, seen = set(base), set()
-    work = [Layer.root(text)]
-    hides = "%" in text or "\\" in text or "&#" in text or BASE64.search(text) is not None
-    while work and hides:
-        layer = work.pop()
+    hides = "%" in text or "\\" in text or "&#" in text or BASE64.search(text) is not None or WRAPPED.search(text) is not None
+    work = [iter([Layer.root(text)])] if hides else []
+    while work:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         key = layer.key()
         if key in seen:
             continue
         seen.add(key)
         if len(seen) > 1:
             found.update((kind, *layer.span(a, b)) for kind, a, b in find(layer.text))
-        work.extend(x for x in (percent_layer(layer), escape_layer(layer)) if x is not None)
-        work.extend(base64_layers(layer))
+        work.append(_hidden(layer))
     order = lambda s: (s[1], s[0], s[2])
     return sorted(base, key=order), sorted(found, key=order)
 
