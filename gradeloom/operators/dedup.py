@@ -222,14 +222,20 @@ def cluster_survivors(survivors: DataFrame, links: DataFrame, labels: DataFrame,
     return final, all_links
 
 
-def render_links(links: DataFrame, max_urls: int = 1000) -> DataFrame:
-    """(head, duplicate_of_sources): the sorted list as one cell where it fits.
+def render_links(links: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """(head, duplicate_of_sources): the sorted list of every head as one cell.
 
-    Larger groups get NULL here; all their URLs stay in ``links``.  The group size is
-    counted before anything is gathered.
+    Only a caller that sets ``max_urls`` leaves larger groups out; their size is counted
+    before anything is gathered, and all their URLs stay in ``links``.
     """
+    if max_urls is None:
+        return _cells(links)
     small = links.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") <= max_urls).select("head")
-    return links.join(small, "head").groupBy("head").agg(
+    return _cells(links.join(small, "head"))
+
+
+def _cells(links: DataFrame) -> DataFrame:
+    return links.groupBy("head").agg(
         F.array_join(F.array_sort(F.collect_list("source_url")), " | ").alias("duplicate_of_sources"))
 
 

@@ -23,7 +23,7 @@ class Corpus:
 
 
 def build_corpus(staged: DataFrame, tells: str = R.GENERATED_TEXT_TELLS, verify: str = "exact",
-                 near: bool = True, unicode: bool = True, max_cell_urls: int = 1000) -> Corpus:
+                 near: bool = True, unicode: bool = True, max_cell_urls: int | None = None) -> Corpus:
     """``staged`` needs the essay columns and ``ordinal``.
 
     The filtered records and their keys are written once: four later steps read them.

@@ -85,6 +85,11 @@ def test_exact_survivor_by_provenance(spark):
     assert {(r[0], r[1]) for r in one_scan.collect()} == {("e2", 3), ("e4", 0)}
 
 
+def test_url_cell_of_a_hot_head_lists_every_address(spark):
+    links = spark.range(1501).selectExpr("bigint(7) AS head", "concat('u/', lpad(id, 5, '0')) AS source_url")
+    assert dedup.render_links(links).first()["duplicate_of_sources"] == " | ".join(f"u/{i:05d}" for i in range(1501))
+
+
 def test_empty_keys_share_one_group(spark):
     df = records(spark, ["日本", "中国", "abc"])
     assert dedup.exact_dedup(df)[0].count() == 2
