@@ -73,13 +73,21 @@ def leaked_heads_across(docs: DataFrame, doc_key: str, text: str, heads: DataFra
     Items and documents meet on hashed token windows, so work follows the number of
     tokens, not documents times items.  The outer tokens of a head may sit inside longer
     words of the document, so windows are keyed on the inner tokens and every candidate
-    is confirmed on the raw text.  Heads of fewer than three tokens carry no evidence and
-    are left to ``min_tokens``.
+    is confirmed on the raw text.  A head of two tokens is keyed on a word's suffix and the
+    next word's prefix, a head of one token on pieces of words, both of the lengths that
+    such heads have.  An empty head occurs in every text, as for ``contains``.
     """
     items = heads.select(F.col(head_key), head_tokens(F.col(head_text), n).alias("head"))
-    items = items.withColumn("_t", F.split("head", " ")).withColumn("_m", F.size("_t") - 2).where("_m >= 1")
-    sizes = sorted(r[0] for r in items.select("_m").distinct().collect())  # at most n - 2 values
-    keyed = items.select(head_key, "head", F.xxhash64("_m", F.array_join(F.expr("slice(_t, 2, _m)"), " ")).alias("h"))
+    items = items.where("head is not null").withColumn("_t", F.split("head", " ")).withColumn("_m", F.size("_t") - 2)
+    first, last = F.length(F.element_at("_t", 1)), F.length(F.element_at("_t", -1))
+    shape = items.where("head <> ''").select(head_key, "head", "_t", "_m", F.when(F.col("_m") < 1, first).alias("_a"),
+                                             F.when(F.col("_m") == 0, last).alias("_b"))
+    shapes = [tuple(r) for r in shape.select("_m", "_a", "_b").distinct().collect()]  # word counts, or lengths of short heads
+    sizes = sorted(m for m, _, _ in shapes if m >= 1)
+    ones, twos = sorted(a for m, a, _ in shapes if m == -1), sorted((a, b) for m, a, b in shapes if m == 0)
+    keyed = shape.select(head_key, "head", F.when(F.col("_m") >= 1, F.xxhash64("_m", F.array_join(
+        F.when(F.col("_m") >= 1, F.expr("slice(_t, 2, greatest(_m, 1))")), " "))).when(
+            F.col("_m") == 0, F.xxhash64("_a", "_b", "head")).otherwise(F.xxhash64("_a", F.lit("one"), "head")).alias("h"))
     toks = F.col("_toks")
 
     def windows_of(size):
@@ -88,13 +96,25 @@ def leaked_heads_across(docs: DataFrame, doc_key: str, text: str, heads: DataFra
             lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(toks, i, size), " ")))
         ).otherwise(F.array().cast("array<bigint>"))
 
-    if not sizes:
-        sizes = [1]
+    def ends_of(a, b):
+        pairs = F.when(F.size(toks) >= 2, F.transform(F.sequence(F.lit(1), F.size(toks) - 1), lambda i: F.struct(
+            F.element_at(toks, i).alias("x"), F.element_at(toks, i + 1).alias("y")))).otherwise(F.array().cast("array<struct<x:string,y:string>>"))
+        fit = F.filter(pairs, lambda p: (F.length(p["x"]) >= a) & (F.length(p["y"]) >= b))
+        return F.transform(fit, lambda p: F.xxhash64(F.lit(a), F.lit(b), F.concat(
+            F.right(p["x"], F.lit(a)), F.lit(" "), F.left(p["y"], F.lit(b)))))
+
+    def pieces_of(a):
+        fit = F.filter(F.array_distinct(toks), lambda t: F.length(t) >= a)
+        return F.flatten(F.transform(fit, lambda t: F.transform(
+            F.sequence(F.lit(1), F.length(t) - a + 1), lambda i: F.xxhash64(F.lit(a), F.lit("one"), F.substr(t, i, F.lit(a))))))
+
+    kinds = [*[windows_of(s) for s in sizes], *[ends_of(a, b) for a, b in twos], *[pieces_of(a) for a in ones]] or [windows_of(1)]
     tokenised = docs.select(F.col(doc_key), X.space_words(F.col(text)).alias("_toks"))
-    windows = tokenised.select(doc_key, F.explode(F.array_distinct(F.concat(*[windows_of(s) for s in sizes]))).alias("h"))
+    windows = tokenised.select(doc_key, F.explode(F.array_distinct(F.concat(*kinds))).alias("h"))
     candidates = windows.join(keyed, "h").select(doc_key, head_key, "head").distinct()
     confirmed = candidates.join(docs.select(doc_key, text), doc_key)
-    return confirmed.where(F.contains(F.col(text), F.col("head"))).select(doc_key, head_key)
+    empty = docs.where(F.col(text).isNotNull()).select(doc_key).crossJoin(items.where("head = ''").select(head_key))
+    return confirmed.where(F.contains(F.col(text), F.col("head"))).select(doc_key, head_key).unionByName(empty)
 
 
 def forbidden(df: DataFrame, key: str, text: Column, pattern: str, rule_id: str) -> DataFrame:
