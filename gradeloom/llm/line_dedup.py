@@ -14,7 +14,9 @@ recounts only the touched keys, so insert followed by delete restores every deci
 change writes a new version of the tables; the old one stays readable until ``forget``.
 
 Keys are spread by their digest, so no document or source makes a shard large; a very common
-line is one partial count per task.  Shards are cut so that one holds about ``SHARD_KEYS``.
+line is one partial count per task.  Shards are cut so that one holds about ``SHARD_KEYS``, and
+cut anew when an insert takes them above that.  The first load of an empty store needs no filter
+and only writes them; inserts after it ask them.
 
 Defined cases: null or empty text is one empty line; short keys always stay; repeated rows of
 one doc_id count as one document and each row keeps its own lines; a null doc_id refers to
@@ -136,12 +138,25 @@ class LineStore:
         out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", known boolean"
         return keys.groupBy("shard").cogroup(self.table("filters").groupBy("shard")).applyInPandas(ask, out)
 
+    def _reshard(self, shards: int) -> None:
+        """The same content as a new version with more shards."""
+        v = self.version + 1
+        self.shards = shards
+        self._write(v, "raw", self.table("raw"))
+        counts = self._write(v, "counts", self.table("counts").withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")))
+        self._write(v, "filters", self._filters(counts))
+        self.version = v
+
     def insert(self, docs: DataFrame) -> None:
         """Add documents; ids already held add only the lines they did not have."""
         if not self.version:
             return self.load(docs)
+        rows = self._write(self.version + 1, "new", references(docs, self.min_points).distinct())
+        shards = -(-(self.table("raw").count() + rows.count()) // self.shard_keys)
+        if shards > self.shards:
+            self._reshard(shards)
         v = self.version + 1
-        fresh = self._write(v, "batch", self._sharded(references(docs, self.min_points).distinct()))
+        fresh = self._write(v, "batch", self._sharded(rows))
         asked = self._write(v, "asked", self.maybe_known(fresh.select(*KEY).distinct()))
         known = fresh.join(asked.where("known").select(*KEY), KEY, "left_semi")
         held = self.refs().join(asked.where("known").select(*KEY), KEY, "left_semi")
@@ -208,7 +223,7 @@ class LineStore:
         """Delete the versions before the current one."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for v in range(1, self.version):
-            for name in ("raw", "counts", "filters", "batch", "asked", "added", "gone"):
+            for name in ("raw", "counts", "filters", "new", "batch", "asked", "added", "gone"):
                 p = hadoop(self._at(name, v))
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 

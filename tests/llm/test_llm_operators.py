@@ -128,6 +128,24 @@ def test_line_dedup_is_incremental_and_reversible(spark):
     assert state(first) == before
 
 
+def test_line_store_cuts_shards_anew(spark):
+    texts = {i: f"line number {i // 2} that stands in two documents\nthis line stands in all the documents" for i in range(30)}
+    first, second = {d: texts[d] for d in range(2)}, {d: texts[d] for d in range(2, 30)}
+    store = line_dedup.LineStore(spark, shard_keys=8)
+    store.insert(docs(spark, first))
+    assert store.shards == 1
+    store.insert(docs(spark, second))
+    assert store.shards == 8 and store.table("filters").count() > 1
+
+    def state(some):
+        return {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in store.kept(docs(spark, some)).collect()}
+    assert state(texts) == plain_lines(texts)
+    store.delete(docs(spark, second).select("doc_id"))
+    assert state(first) == plain_lines(first)
+    store.forget()
+    assert state(first) == plain_lines(first)
+
+
 def test_line_dedup_empty_table(spark):
     store = line_dedup.LineStore(spark)
     store.insert(docs(spark, []))
