@@ -2,6 +2,7 @@
 
 from gradeloom.llm import (  # noqa: F401
     q_decontaminate,
+    q_divergence,
     q_html_blocks,
     q_jaccard_join,
     q_line_dedup,
@@ -11,5 +12,7 @@ from gradeloom.llm import (  # noqa: F401
     q_quality_rules,
     q_secret_scan,
     q_shard_tree,
+    q_topk_search,
+    q_whitening,
 )
 from gradeloom.llm.registry import ORACLES, QUERIES  # noqa: F401
