@@ -9,6 +9,7 @@ from gradeloom.functions.numbers import half_point_median
 from gradeloom.operators import agreement, dedup, quality, stats, testsets
 from gradeloom.operators.labels import label
 from gradeloom.sources import adapters as A
+from gradeloom.sources.writers import corpus_places
 
 
 def labelled(spark, sf):
@@ -211,11 +212,11 @@ def top3_concentration(spark, sf):
 
 
 @query("t03_tier_order", f"""WITH {_REC}, o AS (SELECT id, subtype, score, row_number() OVER (PARTITION BY subtype ORDER BY score DESC, id)::INTEGER AS place FROM rec)
-SELECT id, subtype AS label_source, place FROM o WHERE place <= 20""")
+SELECT id, subtype AS label_source, place FROM o""")
 def tier_order(spark, sf):
-    """First twenty records of every tier report, in tier order."""
-    from gradeloom.operators.ordered import top_per_key
-    return top_per_key(records(spark, sf), ["label_source"], [F.desc("true_score"), F.col("id")], 20, "place").select("id", "label_source", "place")
+    """The place of every record in its tier report."""
+    rows = records(spark, sf).select("id", "label_source", "true_score")
+    return testsets.tier_places(rows).select("id", "label_source", F.col("place").cast("int").alias("place"))
 
 
 @query("a22_usage_totals", """SELECT sum(n_chars)::BIGINT AS input, sum(n_chars * 3)::BIGINT AS cached, sum(doc_id % 100)::BIGINT AS cache_write, sum(n_chars // 4)::BIGINT AS output,
@@ -275,13 +276,10 @@ def prompt_manifest(spark, sf):
 
 
 @query("t02_corpus_order", f"""WITH {LABELLED}, o AS (SELECT essay_id, row_number() OVER (ORDER BY priority, source_name, essay_id) AS place FROM labelled)
-SELECT essay_id, place::INTEGER AS place FROM o WHERE place <= 100""")
+SELECT essay_id, place FROM o""")
 def corpus_order(spark, sf):
-    """Report of the first hundred records in output order."""
-    first = labelled(spark, sf).orderBy("priority", "source_name", "essay_id").limit(100).select("essay_id", "priority", "source_name")
-    from pyspark.sql import Window
-    # The window sees the hundred report rows only.
-    return first.select("essay_id", F.row_number().over(Window.orderBy("priority", "source_name", "essay_id")).alias("place"))
+    """The place of every record in output order."""
+    return corpus_places(labelled(spark, sf).select("essay_id", "priority", "source_name")).select("essay_id", "place")
 
 
 @query("t05_shuffled_prefix")

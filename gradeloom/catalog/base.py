@@ -111,6 +111,12 @@ gram5 AS (SELECT {id_col}, i, n, lead(w, 4) {w} AS last, concat_ws(' ', w, lead(
 gram AS (SELECT DISTINCT {id_col}, g FROM gram5 WHERE last IS NOT NULL OR (n < 5 AND i = 1))"""
 
 
+def stated(idle: int = 0) -> str:
+    """Join of documents d with the benchmark text b of each: item rank = doc_id modulo the number of items."""
+    return f"""LEFT JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS slot FROM benchmark WHERE item_id IS NOT NULL) b
+    ON b.slot = d.doc_id % nullif((SELECT count(*) + {idle} FROM benchmark WHERE item_id IS NOT NULL), 0)"""
+
+
 ESSAYS = f"""essays AS (
   SELECT d.doc_id AS ordinal, 'doc_' || d.doc_id AS essay_id, d.text AS essay_text,
     CASE d.doc_id % 3 WHEN 0 THEN 'issue' WHEN 1 THEN 'argument' ELSE 'unknown' END AS essay_type,
@@ -125,7 +131,7 @@ ESSAYS = f"""essays AS (
     d.source AS source_name, 'u/' || d.doc_id AS source_url,
     CASE WHEN d.doc_id % 7 <> 0 THEN strftime(DATE '2022-01-01' + d.doc_id::INTEGER, '%Y-%m-%d') END AS publication_date,
     {wc('d.text')} AS word_count
-  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40)"""
+  FROM documents d {stated()})"""
 
 SUBTYPE = """CASE score_type WHEN 'official' THEN 'A1_official' WHEN 'teacher_rated' THEN 'A2_teacher_rated'
   WHEN 'self_reported' THEN 'A2_teacher_rated' WHEN 'third_party_rated' THEN 'A3_community_rated'

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import ANCHORS, POOL, PREDS, SIGNAL_RULES, case_rules, query, squeeze, strip
+from gradeloom.catalog.base import ANCHORS, POOL, PREDS, SIGNAL_RULES, case_rules, query, squeeze, stated, strip
 from gradeloom.operators import agreement, checks, dedup, gold, segments
 from gradeloom.operators import threads as T
 from gradeloom.operators.prompts import resolve_prompts, variant_templates
@@ -56,7 +56,7 @@ def thread_dates(spark, sf):
 
 _RES = f"""{POOL}, req AS (
   SELECT doc_id AS id, b.text AS statement, CASE WHEN doc_id % 5 = 0 THEN d.text END AS instruction,
-    CASE WHEN doc_id % 7 = 0 THEN 'policy' END AS given FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 41),
+    CASE WHEN doc_id % 7 = 0 THEN 'policy' END AS given FROM documents d {stated(1)}),
 tmpl AS (SELECT variant, min_by(instruction, ordinal) AS ti FROM pool GROUP BY 1),
 byst AS (SELECT {strip(squeeze('lower(statement)'))} AS k, count(DISTINCT variant) AS hits, any_value(variant) AS v, any_value(instruction) AS si FROM pool GROUP BY 1),
 st AS (SELECT *, coalesce(given, {case_rules('instruction', SIGNAL_RULES)}) AS sv, {strip(squeeze("lower(coalesce(statement, ''))"))} AS k FROM req)"""
@@ -69,8 +69,7 @@ SELECT id, CASE WHEN sv IS NOT NULL THEN sv WHEN hits = 1 THEN v END AS variant,
 FROM st LEFT JOIN tmpl ON tmpl.variant = st.sv LEFT JOIN byst USING (k)""")
 def resolve_prompt(spark, sf):
     d, doc = A.table(spark, sf, "documents"), F.col("doc_id")
-    b = A.table(spark, sf, "benchmark").where("item_id < 41").select("item_id", F.col("text").alias("statement"))
-    req = d.join(b, F.col("item_id") == doc % 41, "left").select(
+    req = A.with_statement(d, spark, sf, idle=1).select(
         doc.alias("id"), "statement", F.when(doc % 5 == 0, F.col("text")).alias("instruction"), F.when(doc % 7 == 0, "policy").alias("variant"))
     out = resolve_prompts(req, A.pool(spark, sf), SIGNAL_RULES)
     e = F.col("resolution_error")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog.base import (
     DOMAIN_RULES, ESSAYS, LABELLED, POOL, TELLS, TELLS_SQL, VARIANT_RULES, case_rules, grams, nonblank, norm, query, r3, sents,
-    squeeze, strip, wc, words,
+    squeeze, stated, strip, wc, words,
 )
 from gradeloom.functions import html as H
 from gradeloom.functions import rules as R
@@ -161,7 +161,7 @@ _ARG, _ISS, _TA, _TI, _BA, _BI = r"(?i) nd of ", r"(?i) th the ", r"src1$", r"sr
 
 
 @query("x36_classify_task", rf"""
-WITH e AS (SELECT d.doc_id, b.text AS prompt, d.text, d.source FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40),
+WITH e AS (SELECT d.doc_id, b.text AS prompt, d.text, d.source FROM documents d {stated()}),
 n AS (SELECT *, len(regexp_extract_all(text, '{_BA}')) AS a, len(regexp_extract_all(text, '{_BI}')) AS i FROM e)
 SELECT doc_id, CASE WHEN regexp_matches(coalesce(prompt, ''), '{_ARG}') THEN 'argument' WHEN regexp_matches(coalesce(prompt, ''), '{_ISS}') THEN 'issue'
   WHEN regexp_matches(source, '{_TA}') THEN 'argument' WHEN regexp_matches(source, '{_TI}') THEN 'issue'

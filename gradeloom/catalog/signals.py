@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import CONCESSION, FORMULAIC, STOP, content, marker_list, nonblank, query, r3, sents, squeeze, strip, words
+from gradeloom.catalog.base import CONCESSION, FORMULAIC, STOP, content, marker_list, nonblank, query, r3, sents, squeeze, stated, strip, words
 from gradeloom.functions import signals as S
 from gradeloom.functions import text as X
 from gradeloom.sources import adapters as A
 
 _T = strip("d.text")
 SIGNALS = rf"""
-base AS (SELECT d.doc_id, {_T} AS t, coalesce(b.text, '') AS s FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40),
+base AS (SELECT d.doc_id, {_T} AS t, coalesce(b.text, '') AS s FROM documents d {stated()}),
 toks AS (SELECT *, {words('t')} AS w, {sents('t')} AS sent, {content(words('s'), STOP)} AS pc,
   len({nonblank(r"regexp_split_to_array(t, '\n\s*\n')")}) AS blank, len({nonblank("string_split(t, chr(10))")}) AS lines FROM base),
 nums AS (SELECT *, len(w) AS n, len(sent) AS sn, CASE WHEN blank > 1 THEN blank WHEN lines > 1 THEN lines ELSE blank END AS paras,
@@ -31,8 +31,7 @@ signals AS (SELECT doc_id, n::INTEGER AS word_count, paras::INTEGER AS paragraph
 def pairs(spark, sf):
     """Every document against the statement it is assigned to."""
     d = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("essay"))
-    b = A.table(spark, sf, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("statement"))
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40, "left").drop("item_id")
+    return A.with_statement(d, spark, sf)
 
 
 def scored(spark, sf):

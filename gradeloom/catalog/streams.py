@@ -61,9 +61,8 @@ def ceiling_breaches_stream(spark, sf):
 
 @query("r03_signals_on_arrival", f"WITH {SIGNALS} SELECT doc_id, word_count, sentence_count, prompt_overlap, flags FROM signals")
 def signals_on_arrival(spark, sf):
-    b = A.table(spark, sf, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("statement"))
     docs = stream_of(spark, sf, "documents").select("doc_id", F.col("text").alias("essay"))
-    joined = docs.join(b, F.col("item_id") == F.col("doc_id") % 40, "left").drop("item_id")
+    joined = A.with_statement(docs, spark, sf)
     s = jobs.signals_on_arrival(joined, concession=CONCESSION, formulaic=FORMULAIC, stopwords=STOP)
     flat = s.select("doc_id", "signals.word_count", "signals.sentence_count", "signals.prompt_overlap", F.array_join("signals.flags", ",").alias("flags"))
     return run(flat, "signals")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import materialise
+
 CHUNK = 1 << 16
 
 
@@ -84,3 +86,30 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, out
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+
+
+def place_all(df: DataFrame, order: list[Column], keys: list[str] | None = None, out: str = "place",
+              ranges: int | None = None) -> DataFrame:
+    """Add ``out``: the 1-based, gapless place of every row in ``order`` over the whole table.
+
+    With ``keys`` places start anew in each key.  Rows are dealt into sampled ranges of the whole
+    composite order (and of their arrival, so that equal rows do not pile up in one range) and
+    numbered where they lie; only one count per (key, range) is ordered.  No window sees the rows,
+    and neither a hot key nor the table as a whole reaches one task.  The ranges are written once,
+    so counts and places come from the same deal; the caller reads it back in range order.
+
+    Rows equal in ``order`` get neighbouring places in either order; an empty table stays empty.
+    """
+    keys = keys or []
+    by = [*[F.col(k) for k in keys], *order, F.col("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(ranges, *by) if ranges else dealt.repartitionByRange(*by)
+    # the low 33 bits count the rows of a task in the order they pass
+    numbered = dealt.sortWithinPartitions(*by).drop("_tie").withColumns({
+        "_range": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = materialise(numbered, "places")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_in").alias("_first")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return _null_safe_join(rows, starts, [*keys, "_range"]).withColumn(
+        out, F.col("_before") + F.col("_in") - F.col("_first") + 1).drop("_range", "_in", "_first", "_before")

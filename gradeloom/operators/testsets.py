@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import rules as R
 from gradeloom.functions import text as X
-from gradeloom.operators.ordered import top_per_key
+from gradeloom.operators.ordered import place_all, top_per_key
 from gradeloom.operators.prompts import variant_templates
 from gradeloom.schema import TRUST_TIERS
 
@@ -48,6 +48,11 @@ def in_tier_order(records: DataFrame) -> DataFrame:
     return records.orderBy("label_source", F.desc("true_score"), "id")
 
 
+def tier_places(records: DataFrame) -> DataFrame:
+    """``place`` of every record in its tier: best score first, then id."""
+    return place_all(records, [F.desc("true_score"), F.col("id")], ["label_source"])
+
+
 def anchored_prompts(prompts: DataFrame, pool: DataFrame, rules=R.VARIANT_RULES) -> DataFrame:
     """Prompts with officially scored responses; their moves come from the last topic of the variant."""
     variant = F.coalesce(R.classify_variant(F.col("instruction"), rules), F.lit("statement"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
+from gradeloom.operators.ordered import rank_within
 from gradeloom.schema import AUTHENTICITY, SCORE_TYPES, VARIANTS
 
 ESSAY_TYPES = ["issue", "argument", "unknown"]
@@ -33,14 +34,23 @@ def pick(index: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def with_statement(docs: DataFrame, spark: SparkSession, sf_dir: str, out: str = "statement", idle: int = 0) -> DataFrame:
+    """``docs`` with the benchmark text assigned to each: item rank = doc_id modulo the number of items.
+
+    All items take part, however many there are; ``idle`` slots beyond them assign nothing.
+    """
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    slots = rank_within(b, [], "item_id").select((F.col("rn") - 1).alias("_slot"), F.col("text").alias(out))
+    n = F.nullif(b.agg(F.count("*") + idle).scalar(), F.lit(0))
+    return docs.join(slots, F.col("doc_id") % n == F.col("_slot"), "left").drop("_slot")
+
+
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essay records; ``ordinal`` is the ingest order."""
     d, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40").select(
-        F.col("item_id").alias("_i"), F.col("text").alias("prompt_text"))
     score_type = pick(doc % 6, SCORE_TYPES)
     score = F.when(doc % 6 != 5, (doc % 13) / 2.0)
-    return d.join(b, F.col("_i") == doc % 40, "left").select(
+    return with_statement(d, spark, sf_dir, "prompt_text").select(
         doc.alias("ordinal"),
         F.concat(F.lit("doc_"), doc.cast("string")).alias("essay_id"),
         F.col("text").alias("essay_text"),

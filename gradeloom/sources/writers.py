@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.operators.ordered import place_all
 from gradeloom.schema import to_reference_blank
 
+CORPUS_ORDER = ["priority", "source_name", "essay_id"]
+
 
 def in_corpus_order(df: DataFrame) -> DataFrame:
-    return df.orderBy("priority", "source_name", "essay_id")
+    return df.orderBy(*CORPUS_ORDER)
+
+
+def corpus_places(df: DataFrame) -> DataFrame:
+    """``place`` of every record in output order."""
+    return place_all(df, [F.col(c) for c in CORPUS_ORDER])
 
 
 def write_corpus(df: DataFrame, folder: str) -> None:
-    """Parquet, plus ordered CSV and JSON exports.  Spark writes no byte-order mark."""
+    """Parquet, plus ordered CSV and JSON exports of it.  Spark writes no byte-order mark.
+
+    The exports read the Parquet back, so the records are computed once.
+    """
     df.write.mode("overwrite").parquet(f"{folder}/parquet")
-    ordered = in_corpus_order(df)
+    ordered = in_corpus_order(df.sparkSession.read.schema(df.schema).parquet(f"{folder}/parquet"))
     to_reference_blank(ordered).write.mode("overwrite").option("header", True).option("quote", '"').option(
         "escape", '"').csv(f"{folder}/csv")
     ordered.write.mode("overwrite").json(f"{folder}/json")

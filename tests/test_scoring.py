@@ -91,8 +91,13 @@ def test_prefix_contexts(spark):
     assert {k: v["prefix_key"] for k, v in a.items()} == {k: v["prefix_key"] for k, v in b.items()} and set(a) == {"all", "without:g0", "without:g1"}
     text = a["without:g0"]["prefix"]
     assert "g1_score3" in text and "g0_score2" not in text and text.index("g1_score3") < text.index("g1_score1")
-    with pytest.raises(ValueError):
-        scoring.render_prefixes(anchors, rubric, max_bytes=10)
+    parts = scoring.prefix_parts(anchors, rubric).toPandas()
+    assert len(parts) == 5
+    for context, withheld in (("all", None), ("without:g0", "g0"), ("without:g1", "g1")):
+        assert scoring.assemble_prefix(parts, withheld) == a[context]["prefix"]
+    assert set(r["context_id"] for r in scoring.render_prefixes(anchors, rubric, leave_group_out=False).collect()) == {"all"}
+    none = scoring.render_prefixes(anchors.where("false"), rubric).collect()
+    assert [(r["context_id"], r["prefix"][-20:]) for r in none] == [("all", "\n\n# Scored examples\n\n"[-20:])]
 
 
 def test_prefix_travels_by_join_when_large(spark, prefixes):
@@ -104,6 +109,29 @@ def test_prefix_travels_by_join_when_large(spark, prefixes):
         assert scoring.call_scorer(seen, prefixes, echo, max_bytes=limit).first()["text"] == "constant prefix"
 
 
+def test_calls_meet_whole_anchors_in_every_piece(spark):
+    rows = [(i, f"g{i % 3}_score{i}", float(i % 4), f"g{i % 3}", f"essay {i} " * 50, "st", "in", "rc") for i in range(12)]
+    anchors = spark.createDataFrame(rows, "ordinal int, id string, score double, group string, essay string, prompt_statement string, prompt_instruction string, rater_commentary string")
+    rubric = spark.createDataFrame([("R",)], "rubric string")
+    parts = scoring.prefix_parts(anchors, rubric)
+    # one context holds most calls, others one each; an unknown group withholds nothing; no context means all anchors
+    contexts = ["without:g0"] * 60 + ["without:g1", "all", "without:nobody", None] + [f"without:x{i}" for i in range(10)]
+    calls = spark.createDataFrame([(f"i{i}", c, f"r{i}") for i, c in enumerate(contexts)], "item_id string, context_id string, request string")
+
+    def echo(batch):
+        return scorer([wire(3)])(batch).assign(text=batch["context_id"] + "|" + batch["prefix"], output=len(batch))
+    want = {r["context_id"]: r["prefix"] for r in scoring.render_prefixes(anchors, rubric).collect()}
+    for piece_calls in (7, 1000):
+        got = scoring.call_with_anchors(calls, parts, echo, samples=2, piece_calls=piece_calls).collect()
+        assert sorted((r["item_id"], r["sample_idx"]) for r in got) == sorted((f"i{i}", s) for i in range(len(contexts)) for s in (0, 1))
+        for r in got:
+            context, prefix = r["text"].split("|", 1)
+            assert context == (contexts[int(r["item_id"][1:])] or "all") and prefix == want.get(context, want["all"])
+    assert scoring.call_with_anchors(calls.where("false"), parts, echo).collect() == []
+    bare = scoring.call_with_anchors(calls.limit(1), scoring.prefix_parts(anchors.where("false"), rubric), echo).first()
+    assert bare["text"].endswith("# Scored examples\n\n")
+
+
 def test_generation(spark, pool, prefixes):
     reply = json.dumps({"plan": {"position": "p"}, "essay": " Two words. ", "notes": {"targetScore": 4}})
     df = spark.createDataFrame([("a", "Only once stated.", 4.0), ("b", "Only once stated.", 2.0), ("c", "Only once stated.", None)], "item_id string, statement string, target double")
