@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.base import ESSAYS, LABELLED, query
+from gradeloom.catalog.base import ESSAYS, LABELLED, PREDS, query
 from gradeloom.operators import segments, stats, testsets
 from gradeloom.operators.labels import label
 from gradeloom.schema import ESSAY
@@ -19,6 +19,55 @@ def stage_union(spark, sf):
     return readers.union_stages(*parts).select("stage", "essay_id", "ordinal", "word_count")
 
 
+_CSV_TEXT = """CASE doc_id % 4 WHEN 0 THEN text || '"' || chr(10) || ',"end' WHEN 1 THEN replace(text, ' ', '""') WHEN 2 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END"""
+
+
+@query("s03_corpus_csv", f"""SELECT doc_id::VARCHAR AS doc_id, nullif(trim(lang), '') AS lang, nullif(trim(source), '') AS source, md5({_CSV_TEXT}) AS text_md5
+FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0 AND trim({_CSV_TEXT}) <> ''""")
+def corpus_csv(spark, sf):
+    """Documents written as two quoted CSV files with marks, short and long rows, read back by ranges."""
+    folder, doc, text = scratch_path(spark, "csv"), F.col("doc_id"), F.col("text")
+    text = (F.when(doc % 4 == 0, F.concat(text, F.lit('"\n,"end'))).when(doc % 4 == 1, F.replace(text, F.lit(" "), F.lit('""')))
+            .when(doc % 4 == 2, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text))
+    whole = [doc, F.col("lang"), F.col("source"), text]
+    line = F.when(doc % 17 == 0, writers.csv_line(whole[:3])).when(doc % 19 == 0, writers.csv_line([*whole, F.lit("more")])).otherwise(
+        writers.csv_line(whole))
+    writers.framed_text(A.table(spark, sf, "documents").withColumn("half", doc % 2), "half", "doc_id", line, folder,
+                        F.lit("\ufeffdoc_id,lang,source,text"))
+    rows = readers.corpus_csv(spark, folder).where("text is not null")
+    return rows.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
+@query("s07_thread_files", """
+SELECT conv_id::VARCHAR AS thread, count(*) AS posts, md5(string_agg(text, chr(10) ORDER BY turn)) AS bodies_md5, string_agg(role, ',' ORDER BY turn) AS roles
+FROM conversations GROUP BY 1""")
+def thread_files(spark, sf):
+    """Threads written as array files, read back by ranges."""
+    folder = scratch_path(spark, "threads")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    threads = A.table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("p")).select(
+        (F.col("conv_id") % 2).alias("half"), F.col("conv_id").alias("o"), F.col("conv_id").cast("string").alias("t"),
+        F.transform("p", lambda x: x["text"]).alias("b"), F.transform("p", lambda x: x["role"]).alias("us"))
+    writers.write_json_arrays(threads, folder, "half", "o")
+    return readers.forum_threads(spark, folder).select(
+        F.col("t").alias("thread"), F.size("b").cast("bigint").alias("posts"), F.md5(F.array_join("b", "\n")).alias("bodies_md5"),
+        F.array_join("us", ",").alias("roles"))
+
+
+@query("s14_evaluation_runs", f"""WITH {PREDS}, r AS (SELECT *, row_number() OVER (PARTITION BY ladder ORDER BY ordinal) - 1 AS place FROM preds)
+SELECT 'engine "' || ladder || '"' AS model, place::INTEGER AS ordinal, item_id AS id, true_score, predicted_score, label_source, predicted_score AS first_sample FROM r""")
+def evaluation_runs(spark, sf):
+    """Predictions written as one run file per source, read back by ranges."""
+    folder = scratch_path(spark, "runs")
+    p = A.predictions(spark, sf).select(
+        F.regexp_extract("id", r"^(.*)_score", 1).alias("run"), "ordinal", F.col("item_id").alias("id"), F.col("true_score").alias("trueScore"),
+        F.col("predicted_score").alias("predictedScore"), F.col("label_source").alias("labelSource"), "samples")
+    head = F.struct(F.lit("p{[").alias("provider"), F.concat(F.lit('engine "'), F.col("run"), F.lit('"')).alias("model"))
+    writers.write_json_arrays(p, folder, "run", "ordinal", head, "predictions")
+    rows = readers.evaluation_runs(spark, f"{folder}/*/*.txt")
+    return rows.select("model", "ordinal", "id", "true_score", "predicted_score", "label_source", F.col("samples")[0].alias("first_sample"))
+
+
 @query("s07_forum_threads", """
 WITH o AS (SELECT conv_id, min(turn) AS open_pos, min_by(text, turn) AS body FROM conversations WHERE role = 'user' GROUP BY 1)
 SELECT c.conv_id AS thread_id, count(*) AS posts, any_value(md5(o.body)) AS opening_md5,

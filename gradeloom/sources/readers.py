@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from gradeloom import schema as S
+from gradeloom.functions import text as X
+from gradeloom.operators.ordered import place_all
+from gradeloom.sources.ranges import csv_fields, csv_records, json_objects
 
 
 # array files from elsewhere, and the two layouts that ``writers.write_stage`` writes
@@ -71,16 +74,31 @@ def stage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Quoted CSV with a BOM, line breaks inside quotes and doubled quotes; odd-length rows are dropped."""
+    """Quoted CSV with a BOM, line breaks inside quotes and doubled quotes; odd-length rows are dropped.
+
+    Many tasks read one file.  Every file starts with its header; without ``schema`` the first one
+    names the columns, all text.  A row with a value that its column's type does not take is dropped.
+    """
+    rows = csv_records(spark, path)
+    is_header = (F.col("start") == 0) & (F.col("no") == 0)
     if schema is None:
-        header = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).columns
-        schema = T.StructType([T.StructField(c.lstrip("\ufeff"), T.StringType(), True) for c in header])
-    raw = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
-        .option("escape", '"').option("mode", "DROPMALFORMED").option("encoding", "UTF-8").option("enforceSchema", True)
-    )
-    # Columns must not be pruned away, or a short row would no longer count as malformed.
-    return S.nulls_for_blank(raw.option("columnPruning", False).csv(path))
+        first = rows.where(is_header).orderBy("file").select(csv_fields(F.col("text")).alias("f")).first()
+        names = [c.lstrip("\ufeff") if i == 0 else c for i, c in enumerate(first["f"] if first else [])]
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in names])
+    fields = X.computed_once(rows.where(~is_header), _f=csv_fields(F.col("text"))).where(F.size("_f") == len(schema))
+    cells = [(f, F.get("_f", F.lit(i))) for i, f in enumerate(schema)]
+    for f, cell in cells:
+        if not isinstance(f.dataType, T.StringType):
+            fields = fields.where((F.trim(cell) == "") | cell.try_cast(f.dataType).isNotNull())
+    return S.nulls_for_blank(fields.select(*[
+        (cell if isinstance(f.dataType, T.StringType) else cell.try_cast(f.dataType)).alias(f.name) for f, cell in cells]))
+
+
+def members(spark: SparkSession, path: str, schema: T.StructType, member: str | None = None) -> DataFrame:
+    """(file, ordinal, fields...) of the objects of one array; ordinals count from 0 in each file."""
+    rows = json_objects(spark, path, member).select("file", "start", "no", F.from_json("text", schema).alias("_v"))
+    placed = place_all(rows, [F.col("start"), F.col("no")], ["file"])
+    return placed.select("file", (F.col("place") - 1).cast("int").alias("ordinal"), "_v.*")
 
 
 def posts(spark: SparkSession, path: str) -> DataFrame:
@@ -92,8 +110,8 @@ def comment_threads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def forum_threads(spark: SparkSession, path: str) -> DataFrame:
-    """Thread array file to one row per post plus thread fields."""
-    return spark.read.schema(S.FORUM_THREAD).option("multiLine", True).json(path)
+    """Thread array files, read by many tasks each: one row per thread with its posts as arrays."""
+    return json_objects(spark, path).select(F.from_json("text", S.FORUM_THREAD).alias("t")).select("t.*")
 
 
 def side_dates(spark: SparkSession, path: str) -> DataFrame:
@@ -128,26 +146,28 @@ def knowledge_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     criteria = level.select(
         "l.score", "l.summary", F.posexplode_outer("l.criteria").alias("axis_no", "c")
     ).select("score", "summary", "axis_no", F.col("c.axis").alias("axis"), F.col("c.descriptor").alias("descriptor"))
-    anchor_doc = doc("anchors.json", S.ANCHOR_DOC)
-    topic_doc = doc("prompts_issue.json", S.TOPIC_DOC)
+
+    def listed(name, whole, member):
+        rows = members(spark, f"{folder.rstrip('/')}/{name}", whole[member].dataType.elementType, member)
+        return rows.drop("file")
     return {
         "axes": rubric.select(F.posexplode("axes").alias("axis_no", "a")).select("axis_no", "a.*"),
         "criteria": criteria,
-        "anchors": anchor_doc.select(F.posexplode("anchors").alias("ordinal", "a")).select("ordinal", "a.*"),
-        "anchor_prompts": anchor_doc.select(F.posexplode("prompts").alias("ordinal", "p")).select("ordinal", "p.*"),
-        "topics": topic_doc.select(F.posexplode("topics").alias("ordinal", "t")).select("ordinal", "t.*"),
+        "anchors": listed("anchors.json", S.ANCHOR_DOC, "anchors"),
+        "anchor_prompts": listed("anchors.json", S.ANCHOR_DOC, "prompts"),
+        "topics": listed("prompts_issue.json", S.TOPIC_DOC, "topics"),
         "style": doc("style_exemplars.json", S.STYLE_DOC),
     }
 
 
 def evaluation_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per prediction of every run file."""
-    raw = spark.read.schema(S.EVAL_RUN).option("multiLine", True).json(path)
-    return raw.select(
-        F.col("_metadata.file_name").alias("run_id"), "provider", "model", F.posexplode("predictions").alias("ordinal", "p")
-    ).select("run_id", "provider", "model", "ordinal", F.col("p.id").alias("id"), F.col("p.trueScore").alias("true_score"),
-             F.col("p.predictedScore").alias("predicted_score"), F.col("p.labelSource").alias("label_source"),
-             F.col("p.samples").alias("samples"))
+    """One row per prediction of every run file; many tasks read the predictions of one file."""
+    head = spark.read.schema(T.StructType([S.EVAL_RUN["provider"], S.EVAL_RUN["model"]])).option("multiLine", True).json(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("run_id"), "provider", "model")
+    rows = members(spark, path, S.PREDICTION, "predictions")
+    return rows.join(head, "file").select(
+        "run_id", "provider", "model", "ordinal", "id", F.col("trueScore").alias("true_score"),
+        F.col("predictedScore").alias("predicted_score"), F.col("labelSource").alias("label_source"), "samples")
 
 
 def union_stages(*parts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordered import place_all
@@ -32,6 +32,39 @@ def write_corpus(df: DataFrame, folder: str) -> None:
     ordered.write.mode("overwrite").json(f"{folder}/json")
 
 
+def framed_text(df: DataFrame, by: str, order: str, line: Column, folder: str, head: Column, tail: Column | None = None,
+                joint: str = "") -> None:
+    """One text file per value of ``by``: a head line, the lines of its rows in order, a tail line.
+
+    ``joint`` stands before every line but the first.  A file is written by one task.
+    """
+    rows = df.select(F.col(by).alias("_by"), F.lit(1).alias("_o"), F.col(order).alias("_i"), line.alias("value"))
+    first = F.row_number().over(Window.partitionBy("_by").orderBy("_i")) == 1
+    rows = rows.withColumn("value", F.when(first, F.col("value")).otherwise(F.concat(F.lit(joint), F.col("value"))))
+    frame = [(0, head)] + ([(2, tail)] if tail is not None else [])
+    ends = df.select(F.col(by).alias("_by"), F.explode(F.array(*[F.struct(F.lit(o).alias("_o"), text.alias("value")) for o, text in frame])).alias("e")).distinct()
+    rows.unionByName(ends.select("_by", "e._o", F.lit(None).cast(df.schema[order].dataType).alias("_i"), "e.value")).repartition("_by").sortWithinPartitions(
+        "_by", "_o", "_i").select("_by", "value").write.mode("overwrite").partitionBy("_by").text(folder)
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """One record with every field in quotes; quotes inside are doubled."""
+    return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns])
+
+
+def write_csv_files(df: DataFrame, folder: str, by: str, order: str) -> None:
+    """Quoted CSV, one file per value of ``by``, each with a byte-order mark and a header."""
+    names = [c for c in df.columns if c != by]
+    framed_text(df, by, order, csv_line([F.col(c) for c in names]), folder, F.lit("\ufeff" + ",".join(names)))
+
+
+def write_json_arrays(df: DataFrame, folder: str, by: str, order: str, head: Column | None = None, member: str | None = None) -> None:
+    """One JSON file per value of ``by``: an array of its rows, or an object with the fields of ``head`` and the array ``member``."""
+    fields = [c for c in df.columns if c != by]
+    opening = F.lit("[") if member is None else F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(f',"{member}":['))
+    framed_text(df, by, order, F.to_json(F.struct(*fields)), folder, opening, F.lit("]" if member is None else "]}"), ",")
+
+
 def write_stage(df: DataFrame, folder: str, name: str, fmt: str = "json") -> str:
     """A stage that ``readers.stages`` and ``readers.stage`` load again: JSON lines or Parquet."""
     path = f"{folder.rstrip('/')}/stage_{name}.{'jsonl' if fmt == 'json' else fmt}"
