@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.catalog.base import KEPT, RANKED, grams, norm, query
 from gradeloom.operators import components, dedup, quality
+from gradeloom.operators.ordered import rank_within
 from gradeloom.plans import corpus
 from gradeloom.session import materialise
 from gradeloom.sources import adapters as A
@@ -85,15 +86,32 @@ def cluster_survivors(spark, sf):
     return dedup.cluster_survivors(s, links, l)[0].select("essay_id", "duplicate_count")
 
 
-@query("d04_components", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 400 AS a, l_partkey % 1000 + 400 AS b FROM lineitem WHERE l_quantity > 49),
+_PARTS_AFTER = "(SELECT max(l_orderkey) + 1 FROM lineitem)"
+
+
+@query("d04_components", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + {_PARTS_AFTER} AS b FROM lineitem),
 bidi AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT a AS node, a AS seen FROM bidi UNION SELECT r.node, x.b FROM reach r JOIN bidi x ON x.a = r.seen)
-SELECT node AS id, min(seen) AS label FROM reach GROUP BY 1""")
+cc(id, label) USING KEY (id) AS (SELECT DISTINCT a AS id, a AS label FROM bidi
+  UNION SELECT x.b AS id, min(cc.label) AS label FROM cc JOIN bidi x ON x.a = cc.id JOIN recurring.cc AS known ON known.id = x.b
+  WHERE cc.label < known.label GROUP BY x.b)
+SELECT id, label FROM cc""")
 def component_labels(spark, sf):
-    e = A.table(spark, sf, "lineitem").where("l_quantity > 49").select(
-        (F.col("l_orderkey") % 400).alias("a"), (F.col("l_partkey") % 1000 + 400).alias("b")).distinct()
-    return components.connected_components(e)
+    """Orders and parts of all line items; part keys lie above the order keys."""
+    li = A.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    after = li.agg(F.max("l_orderkey") + 1).scalar()
+    return components.star_components(li.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + after).alias("b")))
+
+
+@query("d04_chains", """
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)
+SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY rn % 7) AS label FROM o""")
+def chain_labels(spark, sf):
+    """Seven chains through all orders: each order hangs on the seventh one after it."""
+    o = rank_within(A.table(spark, sf, "orders").select("o_orderkey"), [], "o_orderkey")
+    after = o.select(F.col("o_orderkey").alias("after"), (F.col("rn") - 7).alias("rn"))
+    chained = o.join(after, "rn", "left").select(F.col("o_orderkey").alias("a"), F.coalesce("after", "o_orderkey").alias("b"))
+    return components.star_components(chained)
 
 
 @query("d06_unique_ids", """

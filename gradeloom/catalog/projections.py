@@ -245,9 +245,25 @@ def snapshot_url(spark, sf):
 @query("x48_page_blocks")
 def page_blocks(spark, sf):
     """Prompt, body and meta extracted from every page."""
-    b = A.table(spark, sf, "pages").select("page_id", H.html_blocks("html").alias("blocks"))
-    return b.select("page_id", F.size("blocks").alias("blocks"), H.page_prompt(F.col("blocks")).alias("prompt"),
-                    X.word_count(H.page_body(F.col("blocks"))).alias("body_words"), H.page_meta(F.col("blocks"))["author"].alias("author"))
+    t = X.computed_once(A.table(spark, sf, "pages"), tree=H.html_tree("html")).select("page_id", "tree", F.col("tree.blocks").alias("blocks"))
+    return t.select("page_id", F.size("blocks").alias("blocks"), H.page_prompt(F.col("blocks")).alias("prompt"),
+                    X.word_count(H.essay_body(F.col("tree"))).alias("body_words"), H.page_meta(F.col("blocks"))["author"].alias("author"))
+
+
+_PLAIN = r"""regexp_replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&copy;', ' '), '&amp;', ' '), '\s+', ' ', 'g')"""
+
+
+@query("x48_article_text", rf"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM pages)
+SELECT page_id, {wc(_PLAIN.format('art'))} AS words, len(regexp_extract_all(art, '<p>'))::INTEGER AS paragraphs,
+  md5(array_to_string(regexp_extract_all({_PLAIN.format('art')}, '[A-Za-z0-9'']+'), ' ')) AS words_md5 FROM a""")
+def article_text(spark, sf):
+    """Words of the article alone: menus, adverts and footers lie outside its range."""
+    t = X.computed_once(A.table(spark, sf, "pages"), tree=H.html_tree("html"))
+    b = X.computed_once(t, b=H.article_blocks(F.col("tree")))
+    text = F.array_join(F.transform("b", lambda x: x["text"]), " ")
+    return b.select("page_id", X.word_count(text).alias("words"), F.size(F.filter("b", lambda x: x["tag"] == "p")).alias("paragraphs"),
+                    F.md5(F.array_join(F.regexp_extract_all(text, F.lit("[A-Za-z0-9']+"), F.lit(0)), " ")).alias("words_md5"))
 
 
 @query("x49_domain", f"SELECT item_id, {case_rules('text', DOMAIN_RULES, chr(39) + 'general' + chr(39))} AS domain FROM benchmark")

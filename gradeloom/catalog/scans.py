@@ -68,6 +68,20 @@ def evaluation_runs(spark, sf):
     return rows.select("model", "ordinal", "id", "true_score", "predicted_score", "label_source", F.col("samples")[0].alias("first_sample"))
 
 
+@query("k06_run_append", f"""WITH {PREDS}, runs AS (SELECT unnest(['a', 'b']) AS run_id, unnest([0.0, 0.5]::DOUBLE[]) AS shift)
+SELECT run_id, item_id, true_score, predicted_score + shift AS predicted_score, n FROM preds, runs, (SELECT count(*) AS n FROM preds)""")
+def run_append(spark, sf):
+    """Two published runs; a third one broke off between its parts and is not seen."""
+    folder = scratch_path(spark, "run-table")
+    p = A.predictions(spark, sf).select("item_id", "true_score", "predicted_score")
+    for run_id, shift in (("a", 0.0), ("b", 0.5)):
+        own = p.withColumn("predicted_score", F.col("predicted_score") + shift)
+        writers.append_run({"predictions": own, "sizes": own.agg(F.count("*").alias("n"))}, folder, run_id)
+    writers.write_run_parts({"predictions": p}, folder, "broken")
+    sizes = readers.run_part(spark, folder, "sizes")
+    return readers.run_part(spark, folder, "predictions").join(sizes, "run_id").select("run_id", "item_id", "true_score", "predicted_score", "n")
+
+
 @query("s07_forum_threads", """
 WITH o AS (SELECT conv_id, min(turn) AS open_pos, min_by(text, turn) AS body FROM conversations WHERE role = 'user' GROUP BY 1)
 SELECT c.conv_id AS thread_id, count(*) AS posts, any_value(md5(o.body)) AS opening_md5,

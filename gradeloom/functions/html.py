@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gradeloom.functions import rules as R
 from gradeloom.functions import text as X
@@ -26,6 +26,15 @@ WIDGET_CLASSES = (
     r"fivestar-widget|links|node__links|comment|comment-wrapper|view|block|field--name-taxonomy-vocabulary-1|"
     r"field-type-taxonomy-term-reference|average-rating|fivestar-summary)(?=\s|$)"
 )
+WIDGETS = [
+    "field--name-field-essaytitle", "field-field-essaytitle", "field--name-field-vote", "field-field-vote", "fivestar-widget", "links",
+    "node__links", "comment", "comment-wrapper", "view", "block", "field--name-taxonomy-vocabulary-1", "field-type-taxonomy-term-reference",
+    "average-rating", "fivestar-summary",
+]
+ESSAY_NODES = [("article", "node--essay"), ("div", "node"), (None, "l-content")]
+CONTENT_NODES = [(None, "node__content"), ("div", "content")]
+ARTICLE_NODES = [("article", None), (None, "entry-content"), ("main", None)]
+ASIDE_TAGS = ["aside", "nav", "form"]
 STOP_MARKERS = (
     r"(?i)^(Average|Select rating|Cancel rating|Give it|Login|or\s*$|register|Facebook|Google Plus|Send by email|"
     r"Source & Links|Tags|Essay Categories|Votes:|Comments|More essays by this user)"
@@ -40,6 +49,14 @@ SECTION_SCORE = r"Score:?\s*([0-6](?:\.\d)?)\b"
 # -------------------------------------------------------------------------------------------
 
 BLOCKS = ArrayType(StructType([StructField(n, StringType()) for n in ("tag", "cls", "text")]))
+# places count the opening and closing of elements and blocks, so "inside" is a test on numbers
+TREE = StructType([
+    StructField("blocks", ArrayType(StructType([*BLOCKS.elementType.fields, StructField("at", IntegerType())]))),
+    StructField("nodes", ArrayType(StructType([
+        StructField("tag", StringType()), StructField("cls", StringType()), StructField("open", IntegerType()), StructField("close", IntegerType())]))),
+])
+# elements that nothing selects are not listed, only counted
+NODE_TAGS = {"article", "main", "aside", "nav", "form"}
 
 
 class _Blocks(HTMLParser):
@@ -50,11 +67,29 @@ class _Blocks(HTMLParser):
         self.stack: list[tuple[str, str]] = []
         self.blocks: list[tuple[str, str, list[str]]] = []
         self.silent = 0
+        self.place = 0
+        self.at: list[int] = []
+        self.nodes: list[list] = []
+        self.open: list[list] = []  # one per entry of the stack
+
+    def _next(self) -> int:
+        self.place += 1
+        return self.place
+
+    def _pop(self) -> str:
+        self.open.pop()[3] = self._next()
+        return self.stack.pop()[0]
+
+    def finish(self) -> None:
+        """Elements that the page leaves open end with it."""
+        while self.stack:
+            self._pop()
 
     def _open_block(self):
         tag = next((t for t, _ in reversed(self.stack) if t in BLOCK_TAGS), "")
         form = " form" if any(t == "form" for t, _ in self.stack) else ""
         self.blocks.append((tag, " ".join(c for _, c in self.stack if c) + form, []))
+        self.at.append(self._next())
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT_TAGS:
@@ -63,8 +98,12 @@ class _Blocks(HTMLParser):
         if tag in VOID_TAGS:
             return
         while self.stack and tag in CLOSED_BY_NEXT.get(self.stack[-1][0], ()):
-            self.stack.pop()
-        self.stack.append((tag, dict(attrs).get("class") or ""))
+            self._pop()
+        cls = dict(attrs).get("class") or ""
+        self.stack.append((tag, cls))
+        self.open.append([tag, cls, self._next(), 0])
+        if cls or tag in NODE_TAGS:
+            self.nodes.append(self.open[-1])
         if tag in BLOCK_TAGS:
             self._open_block()
 
@@ -73,7 +112,7 @@ class _Blocks(HTMLParser):
             self.silent = max(0, self.silent - 1)
             return
         if any(t == tag for t, _ in self.stack):
-            while self.stack.pop()[0] != tag:
+            while self._pop() != tag:
                 pass
             if tag in BLOCK_TAGS:
                 self._open_block()
@@ -99,6 +138,64 @@ def html_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(one)
 
 
+@F.pandas_udf(TREE)
+def html_tree(pages: pd.Series) -> pd.DataFrame:
+    """Text blocks with their places, and the elements with a class or a sectioning tag as place ranges."""
+    def one(html):
+        if html is None:
+            return None, None
+        parser = _Blocks()
+        parser.feed(html)
+        parser.close()
+        parser.finish()
+        blocks = [{"tag": t, "cls": c, "text": unicodedata.normalize("NFKC", " ".join(s)), "at": at}
+                  for (t, c, s), at in zip(parser.blocks, parser.at, strict=True) if s]
+        return blocks, [dict(zip(("tag", "cls", "open", "close"), n, strict=True)) for n in parser.nodes]
+
+    rows = [one(html) for html in pages]
+    return pd.DataFrame({"blocks": [b for b, _ in rows], "nodes": [n for _, n in rows]})
+
+
+def has_class(node: Column, name: str) -> Column:
+    return F.array_contains(F.split(node["cls"], r"\s+"), name)
+
+
+def is_node(node: Column, tag: str | None, cls: str | None) -> Column:
+    return (F.lit(True) if tag is None else node["tag"] == tag) & (F.lit(True) if cls is None else has_class(node, cls))
+
+
+def first_node(nodes: Column, wanted: list[tuple[str | None, str | None]], under: Column | None = None) -> Column:
+    """The first element, in page order, of the first kind in ``wanted`` that there is; only inside ``under`` if given."""
+    def found(tag, cls):
+        return F.get(F.filter(nodes, lambda n: is_node(n, tag, cls) & (F.lit(True) if under is None else inside(n["open"], under))), F.lit(0))
+    return F.coalesce(*[found(tag, cls) for tag, cls in wanted])
+
+
+def inside(place: Column, node: Column) -> Column:
+    """Whether a place lies in an element; a missing element is the whole page."""
+    return node.isNull() | ((place > node["open"]) & (place < node["close"]))
+
+
+def blocks_in(tree: Column, node: Column, without) -> Column:
+    """Blocks inside ``node``, and not inside one of its elements for which ``without`` holds."""
+    gone = F.filter(tree["nodes"], lambda n: inside(n["open"], node) & without(n))
+    return F.filter(tree["blocks"], lambda b: inside(b["at"], node) & ~F.exists(gone, lambda n: inside(b["at"], n)))
+
+
+def essay_blocks(tree: Column) -> Column:
+    """Blocks of the essay node's content, without its widgets: what lies around the node is no part of it."""
+    nodes = tree["nodes"]
+    node = first_node(nodes, ESSAY_NODES)
+    content = F.coalesce(first_node(nodes, CONTENT_NODES, node), node)
+    widget = lambda n: F.arrays_overlap(F.split(n["cls"], r"\s+"), F.array(*[F.lit(w) for w in WIDGETS])) | (n["tag"] == "form")
+    return F.filter(blocks_in(tree, content, widget), lambda b: b["tag"] != "title")
+
+
+def article_blocks(tree: Column) -> Column:
+    """Blocks of the article, without asides, menus and forms."""
+    return blocks_in(tree, first_node(tree["nodes"], ARTICLE_NODES), lambda n: n["tag"].isin(*ASIDE_TAGS))
+
+
 def _texts(blocks: Column) -> Column:
     return F.transform(blocks, lambda b: X.clean_text(b.text, unicode=False))
 
@@ -118,6 +215,15 @@ def page_prompt(blocks: Column) -> Column:
 def page_body(blocks: Column, min_words: int = 80) -> Column:
     """Paragraph blocks outside widgets; whole text up to the first stop marker when they are too few."""
     content = F.filter(blocks, lambda b: ~b.cls.rlike(WIDGET_CLASSES) & ~b.cls.rlike(r" form$") & (b.tag != "title"))
+    return _body(content, min_words)
+
+
+def essay_body(tree: Column, min_words: int = 80) -> Column:
+    """As ``page_body``, of the essay node alone."""
+    return _body(essay_blocks(tree), min_words)
+
+
+def _body(content: Column, min_words: int) -> Column:
     paras = F.filter(_texts(F.filter(content, lambda b: b.tag == "p")), lambda p: (p != "") & ~p.rlike(STOP_MARKERS))
     words = F.aggregate(paras, F.lit(0), lambda a, p: a + X.word_count(p))
     lines = _texts(content)

@@ -38,6 +38,17 @@ def rank_within(df: DataFrame, keys: list[str], order: str, out: str = "rn", wid
     )
 
 
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = CHUNK) -> DataFrame:
+    """Sum of ``value`` over the rows of the key before this one, by a unique integral ``order`` column."""
+    pieces = _chunked(df, order, width).withColumn("_v", value)
+    part = [*keys, "_chunk"]
+    prior = lambda cols, by: Window.partitionBy(*cols).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = pieces.groupBy(*part).agg(F.sum("_v").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(prior(keys, "_chunk")), F.lit(0))).drop("_n")
+    local = pieces.withColumn("_in", F.coalesce(F.sum("_v").over(prior(part, order)), F.lit(0)))
+    return _null_safe_join(local, before, part).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_v", "_chunk")
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])

@@ -13,7 +13,7 @@ from gradeloom.schema import AXES
 
 # ---- fixed values -------------------------------------------------------------------------
 AXES_AT_1 = ["position", "development", "language", "conventions"]
-GUIDE = r"Scoring Guide (.*?) Sample Responses with Reader"
+GUIDE = (r"Scoring Guide ", r" Sample Responses with Reader")
 LEVEL = r"Score \d\b"
 CRITERIA_MARKER = "following characteristics:"
 ESSAY_OR_COMMENTARY = (
@@ -26,12 +26,17 @@ POOL_PREAMBLE = r"as it appears in the actual test\. "
 
 
 def _clean(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", X.fold_typography(X.drop_page_number_lines(F.col("text"))))
+    """Pages with folded text; a blank one adds nothing to the stream, whose pages are one space apart."""
+    cleaned = docs.withColumn("text", X.fold_typography(X.drop_page_number_lines(F.col("text"))))
+    return cleaned.where("text <> ''") if "part" in docs.columns else cleaned
 
 
-def extract_rubric(docs: DataFrame, guide: str = GUIDE, marker: str = LEVEL) -> DataFrame:
-    """(doc, score, summary, axis_no, axis, descriptor), one row per criterion; score 0 has none."""
-    text = _clean(docs).select("doc", F.regexp_extract("text", guide, 1).alias("text")).where("text <> ''")
+def extract_rubric(docs: DataFrame, guide: tuple[str, str] = GUIDE, marker: str = LEVEL) -> DataFrame:
+    """(doc, score, summary, axis_no, axis, descriptor), one row per criterion; score 0 has none.
+
+    The guide stands between its two markers, over as many parts as it takes.
+    """
+    text = segments.between(_clean(docs), *guide, joint=" ")
     levels = segments.segment(text, marker).withColumn("score", F.regexp_extract("marker", r"\d", 0).cast("int"))
     has = F.contains("body", F.lit(CRITERIA_MARKER))
     head = F.element_at(F.split("body", CRITERIA_MARKER, 2), 1)
@@ -57,7 +62,7 @@ def extract_anchors(docs: DataFrame, marker: str = ESSAY_OR_COMMENTARY, commenta
                     prompt: str | None = None) -> DataFrame:
     """(doc, id, score, essay, commentary, statement, instruction): essays paired with their commentary."""
     text = _clean(docs)
-    segs = segments.segment(text, marker)
+    segs = segments.segment(text, marker, joint=" ")
     segs = segs.select(
         "doc", (F.col("part").cast("bigint") * (1 << 32) + F.col("seg_no")).alias("seg_no"),
         F.when(F.col("marker").rlike(commentary), "commentary").otherwise("essay").alias("kind"),
@@ -66,9 +71,8 @@ def extract_anchors(docs: DataFrame, marker: str = ESSAY_OR_COMMENTARY, commenta
     out = pairs.withColumn("id", F.concat(F.col("doc").cast("string"), F.lit("_score"), F.col("score").cast("string")))
     if prompt is None:
         return out
-    heads = text.select("doc", F.regexp_extract("text", prompt, 1).alias("p")).where("p <> ''")
-    heads = heads.withColumn("s", R.split_prompt(F.col("p"), R.OPENER_ANCHOR, squeeze=False)).select("doc", "s.*")
-    return out.join(heads.dropDuplicates(["doc"]), "doc", "left")
+    heads = segments.first_match(text, prompt, joint=" ").withColumn("s", R.split_prompt(F.col("match"), R.OPENER_ANCHOR, squeeze=False))
+    return out.join(heads.select("doc", "s.*"), "doc", "left")
 
 
 def extract_topics(docs: DataFrame, opener: str = R.INSTRUCTION_OPENER, spans=R.VARIANT_SPANS, preamble: str = POOL_PREAMBLE) -> DataFrame:

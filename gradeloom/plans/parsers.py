@@ -104,9 +104,9 @@ def parse_pages(pages: DataFrame, source: str = "archived pages", prefix: str =
     ok = pages.where("status = 200")
     ok = ok.withColumn("_s", H.snapshot_parts(F.col("url"))) if snapshots else ok.withColumn(
         "_s", F.struct(F.lit(None).cast("string").alias("ts"), F.col("url").alias("original")))
-    blocks = ok.where("_s is not null").select("_s", H.html_blocks("body").alias("blocks"))
+    blocks = X.computed_once(ok.where("_s is not null"), tree=H.html_tree("body")).select("_s", "tree", F.col("tree.blocks").alias("blocks"))
     parsed = X.computed_once(
-        blocks.select("_s.ts", "_s.original", "blocks"), prompt=H.page_prompt(F.col("blocks")), essay=H.page_body(F.col("blocks")),
+        blocks.select("_s.ts", "_s.original", "tree", "blocks"), prompt=H.page_prompt(F.col("blocks")), essay=H.essay_body(F.col("tree")),
         meta=H.page_meta(F.col("blocks")), sc=H.page_scores(F.array_join(F.transform("blocks", lambda b: b.text), "\n")))
     parsed = parsed.where(X.word_count(F.col("essay")) >= min_words)
     tail = F.regexp_extract("original", r"^[a-z]+://[^/]+/(.*)$", 1)
@@ -128,9 +128,9 @@ def parse_pages(pages: DataFrame, source: str = "archived pages", prefix: str =
 
 
 def heading_blocks(pages: DataFrame) -> DataFrame:
-    """(doc, pos, kind, title, text): each heading with the paragraphs up to the next heading."""
-    rows = pages.where("status = 200").select(
-        F.col("url").alias("doc"), F.posexplode(H.html_blocks("body")).alias("pos", "b")).select("doc", "pos", "b.*")
+    """(doc, pos, kind, title, text): each heading of the article with the paragraphs up to the next heading."""
+    trees = X.computed_once(pages.where("status = 200").select(F.col("url").alias("doc"), "body"), tree=H.html_tree("body"))
+    rows = trees.select("doc", F.posexplode(H.article_blocks(F.col("tree"))).alias("pos", "b")).select("doc", "pos", "b.tag", "b.text")
     is_head = F.col("tag").isin("h2", "h3", "h4")
     placed = carry_forward(rows, ["doc"], "pos", {"at": F.when(is_head, F.col("pos"))}).where("at is not null")
     body = F.when(F.col("tag").isin("p", "blockquote", "li"), F.struct("pos", X.clean_text(F.col("text")).alias("t")))

@@ -65,6 +65,12 @@ def delete_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    return [p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))]
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage by writing a table: survives lost executors and carries file sizes."""
     return write_table(df, tag)[0]

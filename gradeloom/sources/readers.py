@@ -14,6 +14,7 @@ from gradeloom import schema as S
 from gradeloom.functions import text as X
 from gradeloom.operators.ordered import place_all
 from gradeloom.sources.ranges import csv_fields, csv_records, json_objects
+from gradeloom.sources.writers import MANIFEST
 
 
 # array files from elsewhere, and the two layouts that ``writers.write_stage`` writes
@@ -170,6 +171,14 @@ def evaluation_runs(spark: SparkSession, path: str) -> DataFrame:
         F.col("predictedScore").alias("predicted_score"), F.col("labelSource").alias("label_source"), "samples")
 
 
+def run_part(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One part of all published runs, with ``run_id``; runs that broke off before publication are not there."""
+    root = folder.rstrip("/")
+    runs = spark.read.schema("parts array<string>, run_id string").parquet(f"{root}/{MANIFEST}").where(F.array_contains("parts", name))
+    rows = spark.read.parquet(f"{root}/{name}")
+    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(runs.select("run_id"), "run_id", "left_semi")
+
+
 def union_stages(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ordered import place_all
 from gradeloom.schema import to_reference_blank
+from gradeloom.session import existing
 
+MANIFEST = "manifest"
 CORPUS_ORDER = ["priority", "source_name", "essay_id"]
 
 
@@ -86,7 +88,26 @@ def write_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_run(parts: dict[str, DataFrame], folder: str, run_id: str) -> None:
-    """Append each part of an evaluation under its run id."""
+def write_run_parts(parts: dict[str, DataFrame], folder: str, run_id: str) -> None:
+    """First phase of a run: its parts lie in their folders, and no reader of ``readers.run_part`` sees them."""
     for name, df in parts.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder.rstrip('/')}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}/run_id={run_id}")
+
+
+def publish_run(spark: SparkSession, folder: str, run_id: str, names: list[str]) -> None:
+    """Second phase: one manifest row, in one file that is renamed into place, makes all parts visible at once."""
+    row = spark.createDataFrame([(sorted(names),)], "parts array<string>").coalesce(1)
+    row.write.mode("error").parquet(f"{folder.rstrip('/')}/{MANIFEST}/run_id={run_id}")
+
+
+def append_run(parts: dict[str, DataFrame], folder: str, run_id: str) -> None:
+    """Append an evaluation under its run id: all parts, or none that a reader sees.
+
+    A run that broke off before it was published is written anew under its id; a published one
+    is never touched again.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    if existing(spark, [f"{folder.rstrip('/')}/{MANIFEST}/run_id={run_id}/_SUCCESS"]):
+        raise ValueError(f"run {run_id} is already published")
+    write_run_parts(parts, folder, run_id)
+    publish_run(spark, folder, run_id, list(parts))

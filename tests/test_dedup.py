@@ -102,6 +102,25 @@ def test_components_on_a_hub_and_a_path(spark):
     assert {got[i] for i in range(200)} == {0} and {got[1000 + i] for i in range(41)} == {1000}
 
 
+def test_star_components(spark, monkeypatch):
+    rng = random.Random(5)
+    n, rounds = 20_000, []
+    small = components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda e: (rounds.append(1), small(e))[1])
+    names = list(range(n))
+    rng.shuffle(names)
+    chain = [(names[i], names[i + 1]) for i in range(n - 1)]
+    got = components.star_components(spark.createDataFrame(chain, "a long, b long"))
+    assert got.groupBy("label").count().collect()[0].asDict() == {"label": 0, "count": n} and len(rounds) <= 14
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000), (None, 3), (6000, 6001), (6001, 6000)]
+    edges += [(rng.randrange(7000, 7300), rng.randrange(7000, 7300)) for _ in range(150)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {r["id"]: r["label"] for r in components.connected_components(frame).collect()} | {5000: 5000}
+    want |= {a: a for a, b in edges if a == b and a not in want}
+    assert {r["id"]: r["label"] for r in components.star_components(frame).collect()} == want
+    assert components.star_components(frame.where("a < 0")).collect() == []
+
+
 def test_hot_key_rank_and_carry(spark):
     """One key holds most rows; chunks must join up as one sequence."""
     rows = [("hot" if i % 3 else f"k{i % 9}", i, f"v{i}" if i % 50 == 0 else None) for i in range(3000)]

@@ -168,3 +168,31 @@ def test_inline_span_keeps_its_block(spark):
     page = "<h3><span>Prompt 1</span></h3><p>Hello <span>important</span> ﬁne tail</p>"
     got = spark.createDataFrame([(page,)], "h string").select(H.html_blocks("h").alias("b")).first()["b"]
     assert [(b["tag"], b["text"]) for b in got] == [("h3", "Prompt 1"), ("p", "Hello important fine tail")]
+
+
+def tree_of(spark, page, build):
+    return spark.createDataFrame([(page,)], "h string").select(H.html_tree("h").alias("t")).select(build(F.col("t")).alias("r")).first()["r"]
+
+
+def test_essay_node_comes_first(spark):
+    essay = lambda t: F.transform(H.essay_blocks(t), lambda b: b["text"])
+    page = ("<title>T</title><nav class='menu'><p>Menu</p></nav><div class='block outer'><div class='node teaser'><p>Teaser</p></div>"
+            "<article class='x node--essay y'><h1>Head</h1><div class='node__content'><p>One</p><div class='links'><p>Share</p></div><p>Two <b>bold</b></p>"
+            "<form><p>Login</p></form><div class='comment-wrapper'><p>Comment</p></div><p>Three</div><footer><p>Foot of node</p></footer></article>"
+            "<aside><p>Aside</p></aside></div><footer><p>Footer</p></footer>")
+    assert tree_of(spark, page, essay) == ["One", "Two bold", "Three"]
+    assert tree_of(spark, page.replace("node__content", "other"), essay) == ["Head", "One", "Two bold", "Three", "Foot of node"]
+    assert tree_of(spark, page.replace("node--essay", "none"), essay) == ["Teaser"]
+    assert tree_of(spark, "<div class='nodes'><p>a</p></div><p>b</p><div class='block'><p>c</p></div>", essay) == ["a", "b"]
+    assert tree_of(spark, "<div class='l-content'><p>open", essay) == ["open"]
+    assert tree_of(spark, "", essay) == [] and tree_of(spark, None, essay) is None
+
+
+def test_article_scope(spark):
+    article = lambda t: F.transform(H.article_blocks(t), lambda b: F.concat(b["tag"], F.lit(":"), b["text"]))
+    inner = "<h2>Prompt 1</h2><p>text</p><aside><p>aside</p></aside><nav><li>menu</li></nav><ul><li>item</li></ul>"
+    expected = ["h2:Prompt 1", "p:text", "li:item"]
+    assert tree_of(spark, f"<main><p>before</p><article>{inner}</article></main><p>after</p>", article) == expected
+    assert tree_of(spark, f"<main><div class='big entry-content'>{inner}</div><p>after</p></main>", article) == expected
+    assert tree_of(spark, f"<p>before</p><main>{inner}</main>", article) == expected
+    assert tree_of(spark, f"<form><p>f</p></form>{inner}", article) == expected
