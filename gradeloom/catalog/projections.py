@@ -250,7 +250,11 @@ def page_blocks(spark, sf):
                     X.word_count(H.essay_body(F.col("tree"))).alias("body_words"), H.page_meta(F.col("blocks"))["author"].alias("author"))
 
 
-_PLAIN = r"""regexp_replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&copy;', ' '), '&amp;', ' '), '\s+', ' ', 'g')"""
+# fixed values: the character references of the given pages; tags and references part words, but for the apostrophe
+_REFERENCES = {"&nbsp;": " ", "&copy;": " ", "&quot;": " ", "&lt;": " ", "&gt;": " ", "&middot;": " ", "&#39;": "''", "&#x27;": "''", "&amp;": " ", "&amp": " "}
+_PLAIN = r"regexp_replace(regexp_replace({0}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')"
+for _r, _c in _REFERENCES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_r}', '{_c}')"
 
 
 @query("x48_article_text", rf"""
