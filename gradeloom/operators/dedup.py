@@ -133,9 +133,9 @@ def near_duplicate_labels(
 
     The clusters are those of "every pair sharing a band is checked", without listing
     the pairs of a group: each bucket first compares all members with one pivot, which
-    is linear and joins a group of copies at once.  A bucket stays open only while its
-    members carry different labels; then members outside its largest label become
-    pivots, more in each round, until every unresolved pair has been checked.
+    is linear and joins a group of copies at once.  A bucket stays open only where its
+    members then carry different labels; there, members meet over rare shingles
+    (``linked_in_buckets``), or, where signatures alone decide, over growing pivots.
     """
     sk = materialise(sketches(df, id_col, text_col, unicode), "sketch")
     members = materialise(band_members(sk), "bands")
@@ -147,14 +147,13 @@ def near_duplicate_labels(
     edges = materialise(verify_pairs(pairs, sk, verify, threshold), "edges")
     labels = connected_components(edges)
     open_rows = members.join(first, "bucket").where("id <> a").select("bucket", "id")
+    if verify == "exact":
+        current = materialise(still_open(open_rows, labels), "open")
+        found = materialise(linked_in_buckets(current, sk, threshold), "edges")
+        return merge_labels(labels, found)
     pivots_per_bucket = FIRST_PIVOTS
     while True:
-        labelled = open_rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        still = (
-            labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo <> hi").select("bucket")
-        )
-        current = materialise(labelled.join(still, "bucket"), "open")
+        current = materialise(still_open(open_rows, labels), "open")
         if current.limit(1).count() == 0:
             return labels
         sizes = current.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -175,6 +174,43 @@ def near_duplicate_labels(
         pivots_per_bucket *= 4
 
 
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, label) of the buckets whose members carry different labels."""
+    labelled = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return labelled.join(mixed, "bucket")
+
+
+def prefix_pairs(current: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different labels that may reach the threshold.
+
+    Two sets that do share a shingle among the rarest n - ceil(threshold * n) + 1 of each; so the
+    members of a bucket meet per such shingle, and sizes rule out more.  A shingle that many
+    members hold is rare to none of them and stands in few prefixes.  Where only one label meets,
+    as among the copies of one text, nothing is paired; elsewhere the members outside the largest
+    label are paired with all, so copies are never paired with copies.
+    """
+    ids = current.select("id").distinct()
+    own = grams.join(ids, "id", "left_semi").select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    counts = own.groupBy("g").agg(F.count("*").alias("df"))
+    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    ranked = own.join(counts, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    tokens = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("t")).select("id", "n", F.col("t.g").alias("g"))
+    posts = current.join(tokens, "id")
+    per = posts.groupBy("bucket", "g", "label").agg(F.count("*").alias("m")).groupBy("bucket", "g").agg(
+        F.max_by("label", F.struct("m", (-F.col("label")).alias("tie"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = posts.join(per.drop("labels"), ["bucket", "g"])
+    minor = mixed.where("label <> main").select("bucket", "g", F.col("id").alias("pid"), F.col("label").alias("plabel"), F.col("n").alias("pn"))
+    near = (F.least("n", "pn") >= F.greatest("n", "pn") * threshold - 1e-9) & (F.col("label") != F.col("plabel"))
+    return mixed.join(minor, ["bucket", "g"]).where(near).select(
+        F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+
+
+def linked_in_buckets(current: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of open buckets that reach the threshold."""
+    return verify_pairs(prefix_pairs(current, sk.select("id", "grams"), threshold), sk, "exact", threshold)
+
+
 def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Fold new edges into existing labels by contracting each cluster to its label."""
     known_a = labels.withColumnsRenamed({"id": "a", "label": "la"})

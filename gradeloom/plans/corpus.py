@@ -26,17 +26,24 @@ def build_corpus(staged: DataFrame, tells: str = R.GENERATED_TEXT_TELLS, verify:
                  near: bool = True, unicode: bool = True, max_cell_urls: int | None = None) -> Corpus:
     """``staged`` needs the essay columns and ``ordinal``.
 
-    The filtered records and their keys are written once: four later steps read them.
+    The filtered records and their keys are written once.  Every decision (copies, heads, ids,
+    address lists) is taken on narrow rows, with the key as a digest; whole records are shuffled
+    once, when they are joined with what was decided, and keys once more for the sketches.
     """
     kept = materialise(dedup.with_key(quality.quality_filter(staged, tells), unicode), "kept")
-    survivors, links = dedup.exact_dedup(kept, unicode)
+    narrow = kept.select(
+        "ordinal", "essay_id", "score_type", "human_authenticity", F.left("prompt_text", F.lit(1)).alias("prompt_text"), "word_count",
+        "source_url", F.sha2("text_key", 256).alias("text_key"))
+    survivors, links = dedup.exact_dedup(narrow, unicode)
     if near:
         survivors, links = materialise(survivors, "exact"), materialise(links, "links")
-        labels = dedup.near_duplicate_labels(survivors, verify=verify, unicode=unicode)
+        keys = kept.select("ordinal", "text_key").join(survivors.select("ordinal"), "ordinal", "left_semi")
+        labels = dedup.near_duplicate_labels(keys, verify=verify, unicode=unicode)
         survivors, links = dedup.cluster_survivors(survivors, links, labels)
         links = materialise(links, "links")
     cells = dedup.render_links(links, max_cell_urls).withColumnRenamed("head", "ordinal")
-    labelled = label(dedup.unique_ids(survivors.drop("text_key"))).join(cells, "ordinal", "left")
+    decided = dedup.unique_ids(survivors).select("ordinal", "essay_id", "duplicate_count").join(cells, "ordinal", "left")
+    labelled = label(kept.drop("text_key", "essay_id", "duplicate_count").join(decided, "ordinal"))
     return Corpus(labelled, links, quality.drop_counts(staged, tells))
 
 

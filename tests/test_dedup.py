@@ -74,6 +74,27 @@ def test_chain_needs_later_rounds(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def test_hot_bucket_of_unlike_texts_verifies_few_pairs(spark):
+    """One bucket holds unlike texts over a shared passage, copies under one label, and pairs just above and below 0.8."""
+    rng = random.Random(9)
+    passage = list(range(1000, 1060))
+    sets = {i: passage + [rng.randrange(10**9) for _ in range(60)] for i in range(1500)}
+    copies = {2000 + i: passage + list(range(50_000, 50_060)) for i in range(700)}
+    base = [rng.randrange(10**9) for _ in range(100)]
+    edge = {3000: base, 3001: base[:80], 3002: base[:79], 3003: base[20:] + [7, 8]}
+    rows = [(k, v) for k, v in (sets | copies | edge).items()]
+    grams = spark.createDataFrame(rows, "id long, grams array<long>")
+    current = spark.createDataFrame([(1, k, 2000 if 2000 <= k < 2700 else k) for k, _ in rows], "bucket long, id long, label long")
+    got = {(r["a"], r["b"]) for r in dedup.prefix_pairs(current, grams, 0.8).collect()}
+    assert {(3000, 3001), (3001, 3002)} <= got
+    assert len(got) < 50
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    few = [k for k, _ in rows if k >= 2699 or k < 40]
+    all_sets = dict(rows)
+    want = {(a, b) for i, a in enumerate(sorted(few)) for b in sorted(few)[i + 1:] if jac(all_sets[a], all_sets[b]) >= 0.8}
+    assert want <= got
+
+
 def test_exact_survivor_by_provenance(spark):
     df = records(spark, ["Same text here"] * 4 + ["other"], score_type={2: "official", 1: "estimated"})
     survivors, links = dedup.exact_dedup(df)
