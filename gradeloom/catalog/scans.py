@@ -38,6 +38,75 @@ def corpus_csv(spark, sf):
     return rows.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
+@query("s02_stage_files", f"""WITH {ESSAYS} SELECT essay_id, essay_type, score, CASE WHEN trim(essay_text) <> '' THEN md5(essay_text) END AS text_md5 FROM essays""")
+def stage_files(spark, sf):
+    """Three stages, as JSON lines and as Parquet, read back as one table with an ordinal of its own for each row."""
+    folder, e = scratch_path(spark, "stages"), A.essays(spark, sf)
+    for kind, fmt in zip(A.ESSAY_TYPES, ("json", "parquet", "json"), strict=True):
+        writers.write_stage(e.where(F.col("essay_type") == kind).select("essay_id", "essay_type", "essay_text", "score"), folder, kind, fmt)
+    rows = readers.stages(spark, folder)
+    # a repeated ordinal would lose a row here
+    one = rows.groupBy("ordinal").agg(F.min(F.struct("essay_id", "essay_type", "score", "essay_text")).alias("r")).select("r.*")
+    return one.select("essay_id", "essay_type", "score", F.md5("essay_text").alias("text_md5"))
+
+
+@query("s05_posts", """SELECT 'p' || doc_id AS id, source AS subreddit, doc_id AS created_utc, md5(text) AS body_md5 FROM documents""")
+def posts(spark, sf):
+    """Posts as JSON lines."""
+    folder, doc = scratch_path(spark, "posts"), F.col("doc_id")
+    A.table(spark, sf, "documents").select(
+        F.concat(F.lit("p"), doc.cast("string")).alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("selftext"),
+        doc.alias("created_utc")).write.json(folder)
+    return readers.posts(spark, folder).select("id", "subreddit", "created_utc", F.md5("selftext").alias("body_md5"))
+
+
+@query("s06_comment_threads", """SELECT conv_id::VARCHAR AS link, count(*) AS comments, md5(string_agg(text, chr(10) ORDER BY turn)) AS bodies_md5,
+  sum(turn)::BIGINT AS score FROM conversations GROUP BY 1""")
+def comment_threads(spark, sf):
+    """Threads as JSON lines between lines that are none."""
+    folder = scratch_path(spark, "comments")
+    listed = F.array_sort(F.collect_list(F.struct("turn", F.struct(F.col("role").alias("author"), F.col("text").alias("body"), F.col("turn").alias("score")).alias("c"))))
+    threads = A.table(spark, sf, "conversations").groupBy("conv_id").agg(listed.alias("l"))
+    good = F.to_json(F.struct(F.col("conv_id").cast("string").alias("link"), F.transform("l", lambda x: x["c"]).alias("comments")))
+    lines = F.when(F.col("conv_id") % 3 == 0, F.array(good, F.lit("not json"))).otherwise(F.array(good))
+    threads.select(F.explode(lines).alias("value")).write.text(folder)
+    c = readers.comment_threads(spark, folder)
+    return c.select("link", F.size("comments").cast("bigint").alias("comments"), F.md5(F.array_join("comments.body", "\n")).alias("bodies_md5"),
+                    F.aggregate("comments", F.lit(0).cast("bigint"), lambda a, x: a + x["score"]).alias("score"))
+
+
+@query("s08_side_dates", """SELECT doc_id::VARCHAR AS tid, strftime(DATE '2015-01-01' + doc_id::INTEGER, '%Y-%m-%d') AS iso_date FROM documents WHERE doc_id % 5 <> 0""")
+def side_dates(spark, sf):
+    """Pairs of thread and date, several to a line; every fifth one is cut short and skipped."""
+    folder, doc = scratch_path(spark, "dates"), F.col("doc_id")
+    day = F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), doc.cast("int")), "yyyyMMdd")
+    pair = F.concat_ws(":", doc.cast("string"), F.when(doc % 5 == 0, F.left(day, F.lit(4))).otherwise(day))
+    A.table(spark, sf, "documents").groupBy(F.floor(doc / 8)).agg(F.array_join(F.collect_list(pair), ", ").alias("value")).select("value").write.text(folder)
+    return readers.side_dates(spark, folder)
+
+
+@query("s09_url_list", "SELECT url, lpad(page_id::VARCHAR, 14, '2') AS ts FROM pages")
+def url_list(spark, sf):
+    """Addresses and times of snapshots, parted by tabs."""
+    folder = scratch_path(spark, "urls")
+    A.table(spark, sf, "pages").select(F.concat_ws("\t", "url", F.lpad(F.col("page_id").cast("string"), 14, "2")).alias("value")).write.text(folder)
+    return readers.url_list(spark, folder)
+
+
+@query("k04_document", """SELECT count(*) AS documents, string_agg(source || ':' || n, ',' ORDER BY source) AS sources, sum(n)::BIGINT AS total
+FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)""")
+def nested_document(spark, sf):
+    """A nested document of one row, written and read back."""
+    folder = scratch_path(spark, "document")
+    counts = A.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    writers.write_document(counts.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources")), folder)
+    back = spark.read.schema("sources array<struct<source:string,n:bigint>>").json(folder)
+    return back.select(
+        F.size("sources").cast("bigint").alias("documents"),
+        F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["source"], s["n"].cast("string"))), ",").alias("sources"),
+        F.aggregate("sources", F.lit(0).cast("bigint"), lambda a, s: a + s["n"]).alias("total"))
+
+
 @query("s07_thread_files", """
 SELECT conv_id::VARCHAR AS thread, count(*) AS posts, md5(string_agg(text, chr(10) ORDER BY turn)) AS bodies_md5, string_agg(role, ',' ORDER BY turn) AS roles
 FROM conversations GROUP BY 1""")

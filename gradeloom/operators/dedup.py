@@ -196,7 +196,7 @@ def prefix_pairs(current: DataFrame, grams: DataFrame, threshold: float) -> Data
     keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     ranked = own.join(counts, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
     tokens = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("t")).select("id", "n", F.col("t.g").alias("g"))
-    posts = current.join(tokens, "id")
+    posts = materialise(current.join(tokens, "id"), "postings")  # three readers below
     per = posts.groupBy("bucket", "g", "label").agg(F.count("*").alias("m")).groupBy("bucket", "g").agg(
         F.max_by("label", F.struct("m", (-F.col("label")).alias("tie"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     mixed = posts.join(per.drop("labels"), ["bucket", "g"])
