@@ -203,7 +203,7 @@ def looks_like_essay(spark, sf):
 
 @query("x42_dates", """
 SELECT doc_id, strftime(DATE '2010-01-01' + doc_id::INTEGER, '%Y-%m-%d') AS iso_date,
-  strftime(DATE '1970-01-01' + (doc_id * 100000 // 86400)::INTEGER, '%Y-%m-%d') AS epoch_day FROM documents WHERE doc_id > 0""")
+  CASE WHEN doc_id <> 0 THEN strftime(DATE '1970-01-01' + (doc_id * 100000 // 86400)::INTEGER, '%Y-%m-%d') END AS epoch_day FROM documents""")
 def dates(spark, sf):
     """The same day printed in one of three layouts per row, then parsed back."""
     doc = F.col("doc_id")
@@ -211,7 +211,7 @@ def dates(spark, sf):
     text = (
         F.when(doc % 3 == 0, F.date_format(day, "MM/dd/yyyy")).when(doc % 3 == 1, F.date_format(day, "dd MMMM yyyy"))
         .otherwise(F.date_format(day, "MMMM d, yyyy")))
-    return docs(spark, sf).where("doc_id > 0").select(
+    return docs(spark, sf).select(
         "doc_id", R.iso_date_from_text(text).alias("iso_date"), R.epoch_date(doc * 100000).alias("epoch_day"))
 
 

@@ -191,6 +191,14 @@ def authenticity_from_date(date: Column, after: str, undated: str = "likely", da
     return F.when(date.isNull(), undated).when(late, after).otherwise(dated)
 
 
+def authorship_note(date: Column, author: Column, cutoff: str = CUTOFF_DATE) -> Column:
+    """What a record's date says about who wrote it."""
+    who = F.coalesce(author, F.lit("unknown"))
+    return F.when(date.isNull(), F.concat(F.lit("Attributed to the account "), who, F.lit("; no date is known."))).when(
+        date > cutoff, F.concat(F.lit("Posted "), date, F.lit(", after writing tools went public; machine authorship cannot be ruled out."))).otherwise(
+        F.concat(F.lit("Posted "), date, F.lit(" by "), who, F.lit(", before public writing tools existed.")))
+
+
 def iso_date_from_text(text: Column) -> Column:
     """First of three layouts: 09/14/2019, 07 March 2014, March 7, 2014; else NULL."""
     months = F.array(*[F.lit(m) for m in MONTH_NAMES])
@@ -214,14 +222,15 @@ def iso_date_from_text(text: Column) -> Column:
     )
 
 
-def forum_date(text: Column, as_of: str) -> Column:
-    """'7 Mar 2014' style; a date of ``as_of`` or later is page furniture and becomes NULL."""
+def forum_date(text: Column, as_of: str | None = None) -> Column:
+    """'7 Mar 2014' style; a date of ``as_of`` (today, unless given) or later is page furniture and becomes NULL."""
+    before = F.current_date().cast("string") if as_of is None else F.lit(as_of)
     rx = r"^\s*(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})"
     months = F.array(*[F.lit(m[:3]) for m in MONTH_NAMES])
     month = F.array_position(months, F.lower(F.regexp_extract(text, rx, 2))).cast("int")
     iso = F.format_string("%s-%02d-%02d", F.regexp_extract(text, rx, 3), month,
                           F.regexp_extract(text, rx, 1).try_cast("int"))
-    return F.when(text.rlike(rx) & (month > 0) & (iso < as_of), iso)
+    return F.when(text.rlike(rx) & (month > 0) & (iso < before), iso)
 
 
 def epoch_date(seconds: Column) -> Column:

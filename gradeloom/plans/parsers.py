@@ -55,6 +55,7 @@ def parse_posts(posts: DataFrame, comments: DataFrame | None = None, prefix: str
         exam_or_practice=T.exam_or_practice(has, F.col("body")), author_username=F.concat(F.lit("u/"), F.col("author")),
         source_name=F.concat(F.lit(source_prefix), F.col("subreddit")), source_url=F.concat(F.lit(url_prefix), F.col("permalink")),
         publication_date=date, evidence_for_score=F.col("evidence"),
+        evidence_for_human_authorship=R.authorship_note(date, F.concat(F.lit("u/"), F.col("author"))),
         notes=F.concat_ws(" | ", F.concat(F.lit("Post title: "), F.left("title", F.lit(200))),
                           F.when(F.coalesce(F.col("flair"), F.lit("")) != "", F.concat(F.lit("flair: "), F.col("flair")))),
     )
@@ -68,7 +69,7 @@ def forum_rows(threads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("thread_id", F.col("t").alias("title"), F.col("u").alias("url"), F.col("d").alias("date_text")), posts
 
 
-def parse_threads(threads: DataFrame, posts: DataFrame, dates: DataFrame | None = None, as_of: str = "9999-12-31",
+def parse_threads(threads: DataFrame, posts: DataFrame, dates: DataFrame | None = None, as_of: str | None = None,
                   source: str = "forum", prefix: str = "thread", min_words: int = 120, deny: str = quality.GUIDE_TITLES,
                   collected_at: str | None = None) -> DataFrame:
     """Forum threads: first post holds prompt and essay, replies may hold a score."""
@@ -94,7 +95,8 @@ def parse_threads(threads: DataFrame, posts: DataFrame, dates: DataFrame | None
         score=F.col("score"), score_type=F.coalesce("score_type", F.lit("none")), score_scale=F.when(F.col("score").isNotNull(), "0-6"),
         human_authenticity=R.authenticity_from_date(F.col("publication_date"), after="likely"),
         exam_or_practice=F.lit("practice"), author_username=F.col("author"), source_name=F.lit(source), source_url=F.col("url"),
-        publication_date=F.col("publication_date"),
+        publication_date=F.col("publication_date"), evidence_for_score=F.col("evidence"),
+        evidence_for_human_authorship=R.authorship_note(F.col("publication_date"), F.col("author")),
     )
 
 
@@ -120,6 +122,8 @@ def parse_pages(pages: DataFrame, source: str = "archived pages", prefix: str =
         human_authenticity=R.authenticity_from_date(F.col("meta.date"), after="uncertain"), exam_or_practice=F.lit("practice"),
         author_username=F.col("meta.author"), source_name=F.lit(source), source_url=F.col("original"),
         publication_date=F.col("meta.date"),
+        evidence_for_score=F.when(has, "Score of an automated grader shown on the page, not a rating by a person."),
+        evidence_for_human_authorship=R.authorship_note(F.col("meta.date"), F.nullif(F.col("meta.author"), F.lit(""))),
         notes=F.concat_ws("; ", F.concat(F.lit("rates: "), F.col("sc.rates"), F.lit("/100")),
                           F.concat(F.lit("star rating: "), F.col("sc.stars"), F.lit("/10")),
                           F.when(amended, "marked as amended: may contain tutor corrections"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions import html as H
+from gradeloom.functions import rules as R
 from gradeloom.operators import segments
 from gradeloom.operators import threads as T
 from gradeloom.plans import parsers
@@ -196,3 +197,26 @@ def test_article_scope(spark):
     assert tree_of(spark, f"<main><div class='big entry-content'>{inner}</div><p>after</p></main>", article) == expected
     assert tree_of(spark, f"<p>before</p><main>{inner}</main>", article) == expected
     assert tree_of(spark, f"<form><p>f</p></form>{inner}", article) == expected
+
+
+def test_position_of_the_match_not_of_its_text(spark):
+    text = "score 45 by nobody " + "x" * 300 + " score 4 by e-rater"
+    got = spark.createDataFrame([(text,)], "t string").select("t", T.first_score(F.col("t"), [r"score (\d)\b"]).alias("h")).select(
+        "h.*", T.context_of(F.col("t"), F.col("h"), 5, 11).alias("c")).first()
+    assert (got["at"], got["c"]) == (text.index("score 4 by") + 1, "xxxx score 4 by e-rater")
+
+
+def test_provenance_texts(spark):
+    replies = spark.createDataFrame([("t", 1, "thanks"), ("t", 2, "a b " * 60 + "I would give this 4.5/6 overall"), ("t", 3, "3/6")], "thread_id string, pos int, body string")
+    r = T.first_scored_reply(replies, score_rx=r"(\d(?:\.\d)?)\s*/\s*6", machine="robot").first()
+    assert (r["score"], r["pos"], r["score_type"]) == (4.5, 2, "third_party_rated")
+    assert r["evidence"].startswith("Rated in the thread") and "I would give this 4.5/6 overall..." in r["evidence"] and len(r["evidence"]) < 330
+    posts = spark.createDataFrame([("p", None, None, None), ("q", 5.0, "self_reported", "own words")], "id string, score double, score_type string, evidence string")
+    graded = spark.createDataFrame([("p", 4.0, "ann", "a solid 4"), ("q", 2.0, "bob", "a 2")], "link string, value double, author string, context string")
+    got = {x["id"]: x["evidence"] for x in T.fill_from_comments(posts, graded).collect()}
+    assert "(ann)" in got["p"] and "a solid 4" in got["p"] and got["q"] == "own words"
+    note = spark.createDataFrame([("2014-01-02", "ann"), ("2024-01-02", "ann"), (None, None)], "d string, a string").select(R.authorship_note(F.col("d"), F.col("a")).alias("n"))
+    texts = [x["n"] for x in note.collect()]
+    assert "by ann" in texts[0] and "cannot be ruled out" in texts[1] and "no date" in texts[2]
+    dates = spark.createDataFrame([("7 Mar 2014",), ("7 Mar 2999",)], "t string").select(R.forum_date(F.col("t")).alias("d"), R.forum_date(F.col("t"), "2010-01-01").alias("e"))
+    assert [tuple(x) for x in dates.collect()] == [("2014-03-07", None), (None, None)]
