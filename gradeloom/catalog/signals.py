@@ -106,6 +106,24 @@ def mechanical_zero(spark, sf):
     return s.select("doc_id", S.is_mechanical_zero(F.col("signals.flags")).alias("zero"))
 
 
-@query("x31_rendered_signals")
+def _listed(expr: str, none: str = "none found") -> str:
+    return f"coalesce(nullif(replace({expr}, '|', ', '), ''), '{none}') || '.'"
+
+
+def _printed(expr: str) -> str:
+    return f"regexp_replace(({expr})::DOUBLE::VARCHAR, '[.]0$', '')"
+
+
+@query("x31_rendered_signals", rf"""WITH {SIGNALS},
+x AS (SELECT doc_id, t, flatten(list_transform({sents('t')}, lambda s: {_TOKENS})) AS names FROM (SELECT doc_id, {strip('text')} AS t FROM documents)),
+y AS (SELECT doc_id, list_concat(names, regexp_extract_all(t, '\b(1[0-9]{{3}}|20[0-9]{{2}})\b')) AS found FROM x),
+z AS (SELECT doc_id, array_to_string(list_slice(list_filter(found, lambda v, i: list_position(found, v) = i), 1, 25), '|') AS specificity FROM y)
+SELECT doc_id, concat_ws(chr(10), 'Length: ' || word_count || ' words, ' || paragraph_count || ' paragraph(s), ' || sentence_count || ' sentences.',
+  'Sentence length: mean ' || {_printed('mean_sentence_words')} || ' words, standard deviation ' || {_printed('sentence_length_stdev')} || '.',
+  'Topical overlap with the prompt: ' || floor(prompt_overlap * 100 + 0.5)::BIGINT || '% of prompt content words appear in the response.',
+  'Opens by restating the prompt: ' || CASE WHEN opens_by_restating_prompt THEN 'yes' ELSE 'no' END || '.',
+  'Concession/counterargument markers: ' || {_listed('concession')}, 'Proper nouns, dates and figures: ' || {_listed('specificity')},
+  'Formulaic signposting: ' || {_listed('formulaic')}, 'Mechanical flags: ' || {_listed("replace(flags, ',', '|')", 'none')}) AS rendered
+FROM signals JOIN z USING (doc_id)""")
 def rendered_signals(spark, sf):
     return scored(spark, sf).select("doc_id", S.render_signals().alias("rendered"))
