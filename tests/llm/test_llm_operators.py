@@ -3,9 +3,11 @@ import bz2
 import gzip
 import hashlib
 import itertools
+import json
 import lzma
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -415,3 +417,57 @@ def test_pipeline_against_plain_loops(spark, tmp_path):
         ids = [*encode(t, add_special_tokens=False).ids, 0]
         expected |= {(d, a // 2048, a, len(ids[a:a + 2048]), zlib.crc32(np.array(ids[a:a + 2048], "<u4").tobytes())) for a in range(0, len(ids), 2048)}
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(expected)
+
+
+def _raw_deflate(data):
+    tool = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return tool.compress(data) + tool.flush()
+
+
+CARRIERS = {
+    "base64": lambda b: base64.b64encode(b).decode(),
+    "percent": lambda b: "".join(f"%{c:02x}" for c in b),
+    "url": urllib.parse.quote_from_bytes,
+    "form": urllib.parse.quote_plus,
+    "hex escape": lambda b: "".join(f"\\x{c:02x}" for c in b),
+    "unicode": lambda b: "".join(f"\\u{c:04x}" for c in b),
+    "reference": lambda b: "".join(f"&#{c};" for c in b),
+    "repr": lambda b: repr(b)[2:-1],
+    "json": lambda b: json.dumps(b.decode("latin-1"))[1:-1],
+}
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "deflate": _raw_deflate}
+
+
+@pytest.mark.parametrize("outer", CARRIERS)
+def test_secrets_in_every_nesting_of_two_layers(outer):
+    secret = b"see the note: password: hunter2hunter2 of 'them' & more"
+    inner = {**{n: lambda b, f=f: f(b).encode() for n, f in CARRIERS.items()}, **PACKERS,
+             "gzip twice": lambda b: gzip.compress(zlib.compress(b))}
+    for name, wrap in inner.items():
+        carried = CARRIERS[outer](wrap(secret))
+        text = f'value="{carried}" end'
+        found = [s for s in secret_scan.scan(text)[1] if s[0] == 0 and 7 <= s[1] < s[2] <= 7 + len(carried)]
+        assert found, (outer, name)
+
+
+def test_secrets_in_broken_streams_and_named_references():
+    rng = random.Random(5)
+    noise = " ".join(f"n{rng.randrange(10**9)}" for _ in range(400))
+    whole = f"token: abcdefgh12345678 {noise}".encode()
+    for pack in (gzip.compress, zlib.compress):
+        for cut in (-1, -9, -600):
+            text = base64.b64encode(pack(whole)[:cut]).decode()
+            assert any(k == 0 for k, _, _ in secret_scan.scan(text)[1]), (pack, cut)
+    bad = bytearray(gzip.compress(whole))
+    bad[-5] ^= 255  # a wrong checksum
+    assert any(k == 0 for k, _, _ in secret_scan.scan(base64.b64encode(bad).decode())[1])
+    text = "password&quot;&colon; &quot;hunter2hunter2&quot;"
+    assert secret_scan.scan(text) == ([], [(0, 0, len(text) - 6)])
+    assert secret_scan.scan("password&amp;colon; hunter2hunter2")[1] == [(0, 0, 34)]
+    # a stream that unpacks to itself, or to nothing new, ends
+    assert secret_scan.scan(CARRIERS["base64"](gzip.compress(gzip.compress(b""))))[1] == []
+    # random bytes hold nothing, whatever carries them
+    for seed in range(30):
+        data = random.Random(seed).randbytes(3000)
+        for carry in CARRIERS.values():
+            assert not [s for s in secret_scan.scan(carry(data))[1] if s[0] < 2]
