@@ -5,11 +5,14 @@ vector of hashed tag-path tokens, hashed words and a few measures; a bidirection
 reads the whole sequence, so each block is judged with the page around it.  Blocks it labels as
 main text are joined in page order.
 
-Training: the first ``TRAIN_PAGES`` pages by a hash of their id (a documented bound; pages of over
+Training: the ``TRAIN_PAGES`` different pages of smallest hash (a documented bound; pages of over
 ``TRAIN_CHARS`` characters are left out) give weak labels: a block inside <article> or <main> and in no
-container of another role is main text, a block elsewhere is not; pages without either tag give
-none.  Copies of these pages lose their semantic tags or gain side blocks of other kinds, so the
-network cannot lean on one tag.  Random numbers are seeded: equal pages give equal weights.
+container of another role is main text, a block elsewhere is not.  On pages without either tag the
+element that holds most unlinked text under its children takes their place.  Copies of these pages lose
+their semantic tags, gain lists, sections, tables and harmless class names inside the article and side
+blocks with and without telling names outside it, so the network cannot lean on one tag.  Random
+numbers are seeded: equal pages give equal weights.  The bound is found on hashes; only the html of the
+sample reaches the driver.
 
 Every page is read whole in a map task; there is no shuffle and no row depends on another one.
 
@@ -21,6 +24,7 @@ no rows (and an untrained labeller).
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 120
 TRAIN_CHARS = 1 << 17
-PATH_DIM, WORD_DIM = 32, 16
+PATH_DIM, WORD_DIM = 64, 16
 HIDDEN = 12
+COPIES = 4
 EPOCHS, RATE, BATCH = 24, 0.02, 24
 SEED = 7
 GROUP = 128
@@ -48,20 +53,41 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
                 "th": {"td", "th"}, "option": {"option"}}
 MAIN_TAGS = frozenset(["article", "main"])
 OTHER_TAGS = frozenset("nav aside footer header form menu head title select option dialog fieldset".split())
-OTHER_NAMES = re.compile(r"(^|[-_ ])(ads?|advert\w*|banner|comments?|reply|replies|sidebar|side|menu|nav\w*|cookies?|consent|notice|popup|"
-                         r"modal|promo\w*|share|social|related|footer|header|breadcrumbs?|newsletter|subscribe|sponsor\w*|widget)($|[-_ \d])", re.I)
+# fixed values: words of class and id names that tell another role, and words that may stand beside them
+ROLE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner comment comments reply replies sidebar side menu nav navbar navigation "
+                       "cookie cookies consent gdpr notice popup modal overlay promo promotion share sharing social related recommended teaser teasers footer "
+                       "header masthead breadcrumb breadcrumbs newsletter subscribe subscription signup login sponsor sponsored widget widgets disqus "
+                       "respond pagination pager toolbar".split())
+BESIDE = frozenset("list box block wrapper wrap container section item items body form bar area content site page main top bottom left right inner outer "
+                   "slot unit thread text link links button buttons post posts article articles entry story stories primary secondary global local "
+                   "mobile desktop row col group panel holder inline small large media author meta title new more us by the is on and".split())
+OWN_HEADS = frozenset("article entry post story".split())
+NAME_PARTS = re.compile(r"[a-z]+")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
-Block = tuple[str, tuple[str, ...], float]  # text, path tokens, share of link text
+Block = tuple[str, tuple[str, ...], float, tuple[int, ...]]  # text, path tokens, share of link text, numbers of the elements around
+_other_names: dict[str, bool] = {}
+
+
+def other_name(name: str) -> bool:
+    """A class or id name that as a whole tells another role: 'comment-list', but not 'comment-free'."""
+    got = _other_names.get(name)
+    if got is None:
+        if len(_other_names) > 100_000:
+            _other_names.clear()
+        parts = set(NAME_PARTS.findall(name))
+        got = _other_names[name] = bool(parts & ROLE_WORDS) and parts <= ROLE_WORDS | BESIDE and not ("header" in parts and parts & OWN_HEADS)
+    return got
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with the tokens of the elements around them."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    number = 0
     parts: list[str] = []
     linked = [0, 0]
     at = 0
@@ -70,15 +96,16 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            path = tuple(t for tag, names in stack for t in (tag, *names) if tag in BLOCKS or names)
-            out.append((text, path, min(1.0, linked[0] / max(linked[1], 1))))
+            around = [(tag, names, at) for tag, names, at in stack if tag in BLOCKS or names]
+            path = tuple(t for tag, names, _ in around for t in (tag, *names))
+            out.append((text, path, min(1.0, linked[0] / max(linked[1], 1)), (0, *[at for _, _, at in around])))
         linked[:] = [0, 0]
 
     def say(piece: str) -> None:
         parts.append(piece)
         n = len(piece.strip())
         linked[1] += n
-        if any(tag == "a" for tag, _ in stack):
+        if any(tag == "a" for tag, _, _ in stack):
             linked[0] += n
 
     def close(names: frozenset | set, upto: frozenset | set = frozenset()) -> None:
@@ -114,57 +141,86 @@ def blocks(page: str | None) -> list[Block]:
             elif tag in BLOCKS:
                 close({"p"}, BLOCKS - {"p"})
             names = " ".join(x for g in NAMES.findall(m[3]) for x in g if x).lower().split()
-            stack.append((tag, tuple(names)))
+            number += 1
+            stack.append((tag, tuple(names), number))
     flush()
     return out
 
 
+def densest(found: list[Block]) -> int:
+    """The element under whose children most unlinked text stands, blocks of other roles aside; 0 is the page."""
+    weight: dict[int, float] = {}
+    for text, path, link, around in found:
+        if not _path(path)[1]:
+            n = len(text) * (1 - link)
+            for share, at in ((1, around[-2:-1]), (0.5, around[-3:-2])):
+                for e in at:
+                    weight[e] = weight.get(e, 0) + share * n
+    return max(weight, key=lambda e: (weight[e], -e), default=0)
+
+
 def weak_labels(found: list[Block]) -> np.ndarray | None:
-    """1 for blocks of the article by its tags, or None where the page names no article."""
-    if not any(MAIN_TAGS & set(path) for _, path, _ in found):
-        return None
-    return np.array([float(bool(MAIN_TAGS & set(path)) and not other_role(path)) for _, path, _ in found])
+    """1 for blocks of the article: by its tags, or where no block has them by the densest element; None without any."""
+    if any(MAIN_TAGS & set(path) for _, path, _, _ in found):
+        labels = [bool(MAIN_TAGS & set(path)) and not other_role(path) for _, path, _, _ in found]
+    else:
+        core = densest(found)
+        labels = [core in around and link < 0.5 and not other_role(path) for _, path, link, around in found]
+    return np.array(labels, float) if any(labels) else None
 
 
 def other_role(path: tuple[str, ...]) -> bool:
     inside = max((i for i, t in enumerate(path) if t in MAIN_TAGS), default=-1)
-    return any(t in OTHER_TAGS or (t not in BLOCKS and OTHER_NAMES.search(t)) for t in path[inside + 1:]) or (
+    return any(t in OTHER_TAGS or (t not in BLOCKS and other_name(t)) for t in path[inside + 1:]) or (
         inside < 0 and any(t in OTHER_TAGS for t in path))
 
 
-def _slot(token: str, dim: int, known: dict[str, tuple[int, float]]) -> tuple[int, float]:
-    got = known.get(token)
+EXTRA = 8
+DIM = PATH_DIM + WORD_DIM + EXTRA
+_paths: dict[tuple[str, ...], tuple[np.ndarray, bool]] = {}
+_words: dict[str, int] = {}
+
+
+def _signed(token: str, dim: int) -> int:
+    """Slot of a token; slots from ``dim`` on count down."""
+    h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+    return h % dim + (0 if h >> 16 & 1 else dim)
+
+
+def _path(path: tuple[str, ...]) -> tuple[np.ndarray, bool]:
+    """What a block's vector takes from its path, and whether the path tells another role."""
+    got = _paths.get(path)
     if got is None:
-        if len(known) > 200_000:
-            known.clear()
-        h = zlib.crc32(token.encode("utf-8"))
-        got = known[token] = (h % dim, 1.0 if h >> 16 & 1 else -1.0)
+        if len(_paths) > 20_000:
+            _paths.clear()
+        row = np.zeros(PATH_DIM + 3)
+        for depth, token in enumerate(path):
+            for name in (token, f"{token}@{'end' if depth == len(path) - 1 else 'in'}"):
+                at = _signed(name, PATH_DIM)
+                row[at % PATH_DIM] += 1.0 if at < PATH_DIM else -1.0
+        row[PATH_DIM:] = (any(t not in BLOCKS and other_name(t) for t in path), bool(OTHER_TAGS & set(path)), bool(MAIN_TAGS & set(path)))
+        got = _paths[path] = (row, other_role(path))
     return got
 
 
-_path_slots: dict[str, tuple[int, float]] = {}
-_word_slots: dict[str, tuple[int, float]] = {}
-EXTRA = 7
-DIM = PATH_DIM + WORD_DIM + EXTRA
+def _word(word: str) -> int:
+    if len(_words) > 200_000:
+        _words.clear()
+    got = _words[word] = _signed(word, WORD_DIM)
+    return got
 
 
 def vectors(found: list[Block]) -> np.ndarray:
     """One row per block: hashed path, hashed words, measures."""
     x = np.zeros((len(found), DIM))
-    for i, (text, path, link) in enumerate(found):
-        row = x[i]
-        for depth, token in enumerate(path):
-            for name in (token, f"{token}@{'end' if depth == len(path) - 1 else 'in'}"):
-                at, sign = _slot(name, PATH_DIM, _path_slots)
-                row[at] += sign
+    core = densest(found)
+    for i, (text, path, link, around) in enumerate(found):
+        own = _path(path)[0]
         words = text.split(" ")
-        for w in words:
-            at, sign = _slot(w, WORD_DIM, _word_slots)
-            row[PATH_DIM + at] += sign
-        row[PATH_DIM:PATH_DIM + WORD_DIM] /= np.sqrt(len(words)) * 4
-        roles = any(t not in BLOCKS and OTHER_NAMES.search(t) is not None for t in path)
-        row[-EXTRA:] = (np.log1p(len(words)) / 4, link, text[-1] in ".!?:;\"", i / len(found), roles,
-                        bool(OTHER_TAGS & set(path)), bool(MAIN_TAGS & set(path)))
+        slots = np.bincount([_words[w] if w in _words else _word(w) for w in words], minlength=2 * WORD_DIM)
+        x[i, :PATH_DIM] = own[:PATH_DIM]
+        x[i, PATH_DIM:PATH_DIM + WORD_DIM] = (slots[:WORD_DIM] - slots[WORD_DIM:]) / (np.sqrt(len(words)) * 4)
+        x[i, -EXTRA:] = (np.log1p(len(words)) / 4, link, text[-1] in ".!?:;\"", i / len(found), *own[PATH_DIM:], core in around)
     return x
 
 
@@ -241,13 +297,14 @@ class Labeller:
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
-        for _ in range(EPOCHS):
+        for epoch in range(EPOCHS):
+            rate = RATE * (1 - epoch / EPOCHS)
             for at in rng.permutation(len(groups)):
                 step += 1
                 for k, g in self.gradients(*groups[at]).items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.w[k] = self.w[k] - RATE * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+                    self.w[k] = self.w[k] - rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
 
 
 def _padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,34 +315,91 @@ def _padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return x, mask, y
 
 
-# fixed values: side blocks that training copies of pages gain
+# fixed values: what training copies of pages gain: named side blocks, unnamed ones, and blocks of an article
 SIDE_PATHS = [("div", "sidebar"), ("aside",), ("div", "comments", "p"), ("section", "comment-list", "div", "comment"), ("div", "cookie-notice"),
               ("form", "p"), ("div", "advert"), ("header", "div"), ("div", "related", "ul", "li"), ("div", "newsletter", "p"), ("div", "ad"),
-              ("ul", "menu", "li"), ("footer", "p"), ("div", "share"), ("div", "breadcrumb"), ("div", "promo", "p"), ("nav", "ul", "li")]
+              ("ul", "menu", "li"), ("footer", "p"), ("div", "share"), ("div", "breadcrumb"), ("div", "promo", "p"), ("nav", "ul", "li"),
+              ("div", "disqus_thread", "p"), ("div", "teaser"), ("div", "comments", "ul", "li"), ("aside", "ul", "li"), ("footer", "div", "p")]
+PLAIN_SIDES = [("div",), ("div", "p"), ("section", "p"), ("p",), ("ul", "li"), ("div", "ul", "li"), ("div", "div", "p")]
+INNER_PATHS = [("p",), ("ul", "li"), ("ol", "li"), ("section",), ("section", "p"), ("dl", "dd"), ("dl", "dt"), ("blockquote",), ("blockquote", "p"),
+               ("table", "tbody", "tr", "td"), ("figure", "figcaption"), ("pre",), ("div",), ("div", "p"), ("h2",), ("h3",), ("details",)]
 PLAIN_MAIN = ["div", "section", "div"]
 
 
+def _some_name(rng: np.random.Generator) -> str:
+    """A class name that tells nothing; some hold a word that would tell a role were it the whole name."""
+    made = "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
+    return f"{rng.choice(sorted(ROLE_WORDS))}-{made}" if rng.random() < 0.3 else made
+
+
+def _named(path: tuple[str, ...], share: float, rng: np.random.Generator) -> tuple[str, ...]:
+    at = int(rng.integers(len(path))) + 1
+    return (*path[:at], _some_name(rng), *path[at:]) if rng.random() < share else path
+
+
+def _shared(rows: list[tuple]) -> tuple:
+    low, high = min(rows), max(rows)
+    n = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    return low[:n]
+
+
 def varied(found: list[Block], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """A copy of a page with other tags around its article and with side blocks before, in or after it."""
-    swap = {t: (str(rng.choice(PLAIN_MAIN)),) if rng.random() < 0.4 else (t,) for t in MAIN_TAGS}
-    copy = [(text, tuple(s for t in path for s in swap.get(t, (t,))), link) for text, path, link in found]
-    out, y = list(copy), list(labels)
+    """A copy of a page: other tags around its article, other blocks and names in it, side blocks before, in and after it."""
+    swap = {t: (str(rng.choice(PLAIN_MAIN)),) if rng.random() < 0.5 else (t,) for t in MAIN_TAGS}
+    own = f"c-{_some_name(rng)}" if rng.random() < 0.5 else ""
+    copy = []
+    for text, path, link, around in found:
+        path = tuple(s for t in path for s in ((*swap[t], own) if t in MAIN_TAGS and own else swap.get(t, (t,))))
+        copy.append((text, path, link, around))
+    main = [i for i, y in enumerate(labels) if y]
+    # a lone block gives its parent
+    home = _shared([copy[i][1][:-1] for i in main])
+    inside = _shared([copy[i][3][:-1] for i in main])
+    fresh = itertools.count(1 << 20)
+    words = " ".join(b[0] for b in copy).split(" ")
+
+    def block(before: tuple, path: tuple, around: tuple, link: float) -> Block:
+        a = int(rng.integers(len(words)))
+        text = " ".join(words[a:a + int(rng.integers(1, 40))])
+        return text + ("." if rng.random() < 0.5 else ""), (*before, *path), link, (*around, *[next(fresh) for _ in path])
+
+    def inner() -> tuple[str, ...]:
+        return _named(INNER_PATHS[int(rng.integers(len(INNER_PATHS)))], 0.3, rng)
+    rate = rng.random() * 0.5
+    rows = []
+    for i, (b, y) in enumerate(zip(copy, labels, strict=True)):
+        if y and rng.random() < rate:
+            path = inner()
+            b = (b[0], (*home, *path), b[2], (*inside, *[next(fresh) for _ in path]))
+        rows.append((float(i), b, y))
+    for _ in range(int(rng.integers(0, 5))):
+        at = main[-1] + 0.5 if rng.random() < 0.4 else rng.uniform(main[0], main[-1] + 0.5)
+        path = inner()
+        alike = int(rng.integers(1, 4)) if path[-1] in ("li", "dd", "td", "dt") else 1
+        rows += [(at, block(home, path, inside, float(rng.random() < 0.05)), 1.0) for _ in range(alike)]
+    top, root = ("html", "body"), inside[:3]
     for _ in range(int(rng.integers(0, 5))):
-        side = SIDE_PATHS[int(rng.integers(len(SIDE_PATHS)))]
-        around = ("html", "body") if rng.random() < 0.6 else ("html", "body", "article")
-        words = copy[int(rng.integers(len(copy)))][0].split(" ")
-        text = " ".join(words[:int(rng.integers(2, 40))])
-        at = int(rng.integers(len(out) + 1))
-        out.insert(at, (text, (*around, *side), float(rng.random() < 0.2)))
-        y.insert(at, 0.0)
-    return out, np.array(y)
+        after = rng.random() < 0.6
+        at = main[-1] + 0.75 if after else rng.uniform(-1, main[0])
+        if rng.random() < 0.6 or len(inside) <= 3:
+            side = SIDE_PATHS[int(rng.integers(len(SIDE_PATHS)))]
+            if rng.random() < 0.3:
+                rows.append((rng.uniform(main[0], main[-1] + 0.5), block(home, side, inside, float(rng.random() < 0.2)), 0.0))
+                continue
+        else:
+            side = _named(PLAIN_SIDES[int(rng.integers(len(PLAIN_SIDES)))], 0.3, rng)
+        rows.append((at, block(top, side, root, float(rng.random() < 0.2)), 0.0))
+    rows.sort(key=lambda r: r[0])
+    return [b for _, b, _ in rows], np.array([y for _, _, y in rows])
 
 
 def trained(pages: DataFrame) -> Labeller:
     """A labeller fitted on a bounded sample of the given pages."""
     model, rng = Labeller(), np.random.default_rng(SEED)
-    sample = (pages.where(F.length("html") <= TRAIN_CHARS).select("html", F.xxhash64("page_id", "html").alias("h"))
-              .orderBy("h").limit(TRAIN_PAGES).collect())
+    hashed = pages.where(F.length("html") <= TRAIN_CHARS).select("html", F.xxhash64("page_id", "html").alias("h"))
+    # copies of a page are one; the html is read for the sample alone
+    least = hashed.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
+    sample = [] if least is None else hashed.where(F.col("h") <= least).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     made = []
     for row in sample:
         found = blocks(row["html"])
@@ -293,7 +407,7 @@ def trained(pages: DataFrame) -> Labeller:
         if labels is None:
             continue
         made.append((vectors(found), labels))
-        for _ in range(2):
+        for _ in range(COPIES):
             other, y = varied(found, labels, rng)
             made.append((vectors(other), y))
     if made:
@@ -315,7 +429,7 @@ def labelled(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
 
 
 def main_text(found: list[Block], scores: np.ndarray) -> str:
-    return "\n\n".join(text for (text, _, _), s in zip(found, scores, strict=True) if s >= 0.5)
+    return "\n\n".join(text for (text, _, _, _), s in zip(found, scores, strict=True) if s >= 0.5)
 
 
 def extracted(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
