@@ -22,6 +22,20 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, longer by underscores until no taken name equals it without case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """``columns`` but those that equal one of ``names`` without case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def sha(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
