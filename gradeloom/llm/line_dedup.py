@@ -15,12 +15,13 @@ change writes a new version of the tables; the old one stays readable until ``fo
 
 Keys are spread by their digest, so no document or source makes a shard large; a very common
 line is one partial count per task.  Shards are cut so that one holds about ``SHARD_KEYS``, and
-cut anew when an insert takes them above that.  The first load of an empty store needs no filter
-and only writes them; inserts after it ask them.
+cut anew when an insert takes them above that.  The first load of an empty store goes in
+``ROUNDS`` rounds by a hash of doc_id: the first round starts the counts and filters, every later
+one asks the filters of the rounds before it.
 
 Defined cases: null or empty text is one empty line; short keys always stay; repeated rows of
 one doc_id count as one document and each row keeps its own lines; a null doc_id refers to
-nothing, and its lines stay; other columns pass through unread, whatever their names.
+nothing, and its lines stay; other columns pass through unread, whatever their names and case.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import free_name, without
 from gradeloom.llm.cuckoo import CuckooFilter
 from gradeloom.session import scratch_path
 
 MIN_POINTS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 1 << 18
+ROUNDS = 2
 BATCH_BYTES = 1 << 22
 
 KEY = ["shard", "k1", "k2"]
@@ -118,11 +121,26 @@ class LineStore:
 
     def load(self, docs: DataFrame) -> None:
         """First content of an empty store."""
-        rows = self._write(1, "raw", references(docs, self.min_points).distinct())
+        rows = self._write(ROUNDS, "raw", references(docs, self.min_points).distinct())
         self.shards = max(1, -(-rows.count() // self.shard_keys))
-        counts = self._write(1, "counts", self._counted(self._sharded(rows)))
-        self._write(1, "filters", self._filters(counts))
-        self.version = 1
+        for v in range(1, ROUNDS + 1):
+            mine = self._counted(self._sharded(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == v - 1)))
+            if v == 1:
+                self._write(v, "filters", self._filters(self._write(v, "counts", mine)))
+            else:
+                asked = self._write(v, "asked", self.maybe_known(mine))
+                self._absorb(v, asked.where("not known").drop("known"), asked.where("known").drop("known"))
+            self.version = v
+
+    def _absorb(self, v: int, new: DataFrame, known: DataFrame) -> None:
+        """Counts and filters of version ``v`` from counts of new references: only keys the filter may know meet the exact counts."""
+        old = self.table("counts")
+        more = known.select(*KEY, F.col("n").alias("dn"), F.col("last").alias("dlast"))
+        counts = old.join(more, KEY, "full_outer").select(
+            *KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.greatest("last", "dlast").alias("last"))
+        starts = more.join(old.select(*KEY), KEY, "left_anti").select(*KEY).unionByName(new.select(*KEY))
+        self._write(v, "counts", counts.unionByName(new))
+        self._write(v, "filters", self._changed_filters(starts, add=True, version=v))
 
     def refs(self) -> DataFrame:
         return self._sharded(self.table("raw"))
@@ -163,18 +181,10 @@ class LineStore:
         added = fresh.join(asked.where("not known").select(*KEY), KEY, "left_semi").unionByName(
             known.join(held, [*KEY, "doc_id"], "left_anti"))
         added = self._write(v, "added", added)
-        old = self.table("counts")
-        # only keys that the filter may know meet the exact counts
         mine = self._counted(added)
-        new = mine.join(asked.where("not known").select(*KEY), KEY, "left_semi")
-        known_add = mine.join(asked.where("known").select(*KEY), KEY, "left_semi").select(
-            *KEY, F.col("n").alias("dn"), F.col("last").alias("dlast"))
-        counts = old.join(known_add, KEY, "full_outer").select(
-            *KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.greatest("last", "dlast").alias("last"))
-        starts = known_add.join(old.select(*KEY), KEY, "left_anti").select(*KEY).unionByName(new.select(*KEY))
-        self._write(v, "counts", counts.unionByName(new))
         self._write(v, "raw", self.table("raw").unionByName(added.select("k1", "k2", "doc_id")))
-        self._write(v, "filters", self._changed_filters(starts, add=True))
+        self._absorb(v, mine.join(asked.where("not known").select(*KEY), KEY, "left_semi"),
+                     mine.join(asked.where("known").select(*KEY), KEY, "left_semi"))
         self.version = v
 
     def delete(self, doc_ids: DataFrame) -> None:
@@ -187,10 +197,10 @@ class LineStore:
         again = self._counted(self._sharded(raw).join(gone, KEY, "left_semi"))
         counts = self._write(v, "counts", old.join(gone, KEY, "left_anti").unionByName(again))
         ended = gone.join(counts.select(*KEY), KEY, "left_anti")
-        self._write(v, "filters", self._changed_filters(ended, add=False))
+        self._write(v, "filters", self._changed_filters(ended, add=False, version=v))
         self.version = v
 
-    def _changed_filters(self, keys: DataFrame, add: bool) -> DataFrame:
+    def _changed_filters(self, keys: DataFrame, add: bool, version: int) -> DataFrame:
         def change(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             k = (left["k1"].to_numpy() ^ left["k2"].to_numpy()).astype(np.uint64)
             data = right["filter"].iloc[0] if len(right) else CuckooFilter.sized(len(k)).dump()
@@ -204,7 +214,7 @@ class LineStore:
             return pd.DataFrame({"shard": [shard], "filter": [held.dump() if len(held.table) else b""]})
         out = keys.groupBy("shard").cogroup(self.table("filters").groupBy("shard")).applyInPandas(change, "shard int, filter binary")
         full = out.where(F.length("filter") == 0)
-        rebuilt = self._filters(self.spark.read.parquet(self._at("counts", self.version + 1)).join(full.select("shard"), "shard", "left_semi"))
+        rebuilt = self._filters(self.spark.read.parquet(self._at("counts", version)).join(full.select("shard"), "shard", "left_semi"))
         return out.where(F.length("filter") > 0).unionByName(rebuilt) if add else out
 
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -233,11 +243,12 @@ def remove_lines(docs: DataFrame, drops: DataFrame, min_points: int = MIN_POINTS
 
     Adds ``n_lines`` and ``n_dropped``; columns of these names are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "_drop", "_drop_id")]
-    lists = drops.select(F.col("doc_id").alias("_drop_id"), F.transform(
-        "drop", lambda d: F.concat(*[F.lpad(F.hex(d[c]), 16, "0") for c in ("k1", "k2")])).alias("_drop"))
+    rest = without(docs.columns, "text", "n_lines", "n_dropped")
+    owner, gone_lines = free_name("_drop_id", docs.columns), free_name("_drop", docs.columns)
+    lists = drops.select(F.col("doc_id").alias(owner), F.transform(
+        "drop", lambda d: F.concat(*[F.lpad(F.hex(d[c]), 16, "0") for c in ("k1", "k2")])).alias(gone_lines))
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text")).join(
-        lists, F.col("doc_id").cast("bigint") == F.col("_drop_id"), "left").drop("_drop_id")
+        lists, F.col("doc_id").cast("bigint") == F.col(owner), "left").drop(owner)
     at_text, at_drop = len(rest), len(rest) + 1
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
