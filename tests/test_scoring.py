@@ -100,6 +100,34 @@ def test_prefix_contexts(spark):
     assert [(r["context_id"], r["prefix"][-20:]) for r in none] == [("all", "\n\n# Scored examples\n\n"[-20:])]
 
 
+def test_prefix_pieces_put_together_are_the_prefix(spark):
+    # equal places, a group of None and one that holds the first anchors alone
+    rows = [(o, f"a{i}", s, g, f"essay {i}", "st", "in", "rc") for i, (o, s, g) in enumerate(
+        [(1, 6.0, "top"), (2, 6.0, "top"), (3, 5.0, "g"), (3, 5.0, "g"), (4, 4.0, None), (5, 1.0, "low")])]
+    anchors = spark.createDataFrame(rows, "ordinal int, id string, score double, group string, essay string, prompt_statement string, prompt_instruction string, rater_commentary string")
+    rubric = spark.createDataFrame([("R",)], "rubric string")
+
+    def together(a):
+        parts = scoring.prefix_parts(a, rubric)
+        got = scoring.prefix_pieces(parts).toPandas().sort_values("place", kind="stable")
+        return parts.toPandas(), {k: "".join(p["text"]) for k, p in got.groupby(["context_id", "by_group"])}
+    parts, got = together(anchors)
+    assert set(got) == {("all", False), ("all", True), *((f"without:{g}", True) for g in ("top", "g", "low"))}
+    for (context, _), text in got.items():
+        want = scoring.assemble_prefix(parts, None if context == "all" else context[len("without:"):])
+        assert len(text) == len(want) and sorted(text.split(scoring.JOINT)[1:]) == sorted(want.split(scoring.JOINT)[1:])
+    parts, got = together(anchors.where("group = 'low'"))
+    assert got == {("all", False): scoring.assemble_prefix(parts), ("without:low", True): scoring.assemble_prefix(parts, "low")}
+    parts, got = together(anchors.where("false"))
+    assert got == {("all", False): scoring.assemble_prefix(parts)}
+
+
+def test_anchors_travel_once_per_core_at_most(spark):
+    calls = spark.range(1000).select(F.col("id").cast("string").alias("item_id"), F.concat(F.lit("without:g"), "id").alias("context_id"))
+    assert scoring.call_pieces(calls, 1) == spark.sparkContext.defaultParallelism
+    assert (scoring.call_pieces(calls, 600), scoring.call_pieces(calls.limit(0))) == (2, 1)
+
+
 def test_prefix_travels_by_join_when_large(spark, prefixes):
     seen = spark.createDataFrame([("i", "all", "r")], "item_id string, context_id string, request string")
 
