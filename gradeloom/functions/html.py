@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from gradeloom.functions import rules as R
 from gradeloom.functions import text as X
 
+SLICE_PAGES = 128
+
 # ---- fixed values: markup roles, widget classes and page wording --------------------------
 BLOCK_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "div", "article", "section", "title",
               "footer", "nav"}
@@ -125,35 +128,48 @@ class _Blocks(HTMLParser):
         self.blocks[-1][2].append(data.strip())
 
 
+def _parsed(html: str) -> _Blocks:
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    return parser
+
+
+def _sliced(pages: Iterator[pd.Series], convert) -> Iterator:
+    """``convert`` of a few pages at a time: the trees of a page take many times its bytes."""
+    for batch in pages:
+        # an empty batch gives an empty answer
+        for i in range(0, max(1, len(batch)), SLICE_PAGES):
+            yield convert(batch.iloc[i:i + SLICE_PAGES])
+
+
 @F.pandas_udf(BLOCKS)
-def html_blocks(pages: pd.Series) -> pd.Series:
+def html_blocks(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(html):
         if html is None:
             return None
-        parser = _Blocks()
-        parser.feed(html)
-        parser.close()
-        return [{"tag": t, "cls": c, "text": unicodedata.normalize("NFKC", " ".join(s))} for t, c, s in parser.blocks if s]
+        return [{"tag": t, "cls": c, "text": unicodedata.normalize("NFKC", " ".join(s))} for t, c, s in _parsed(html).blocks if s]
 
-    return pages.map(one)
+    return _sliced(pages, lambda some: some.map(one))
 
 
 @F.pandas_udf(TREE)
-def html_tree(pages: pd.Series) -> pd.DataFrame:
+def html_tree(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Text blocks with their places, and the elements with a class or a sectioning tag as place ranges."""
     def one(html):
         if html is None:
             return None, None
-        parser = _Blocks()
-        parser.feed(html)
-        parser.close()
+        parser = _parsed(html)
         parser.finish()
         blocks = [{"tag": t, "cls": c, "text": unicodedata.normalize("NFKC", " ".join(s)), "at": at}
                   for (t, c, s), at in zip(parser.blocks, parser.at, strict=True) if s]
         return blocks, [dict(zip(("tag", "cls", "open", "close"), n, strict=True)) for n in parser.nodes]
 
-    rows = [one(html) for html in pages]
-    return pd.DataFrame({"blocks": [b for b, _ in rows], "nodes": [n for _, n in rows]})
+    def some(html):
+        rows = [one(h) for h in html]
+        return pd.DataFrame({"blocks": [b for b, _ in rows], "nodes": [n for _, n in rows]})
+
+    return _sliced(pages, some)
 
 
 def has_class(node: Column, name: str) -> Column:

@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from gradeloom.functions import html as H
 from gradeloom.functions import numbers as N
 from gradeloom.functions import rules as R
 from gradeloom.functions import sketch as K
@@ -56,6 +57,50 @@ def test_shingles_short_and_empty(col):
     assert col(X.shingles, ["a b c", "", "a b c d e f"]) == [["a b c"], [], ["a b c d e", "b c d e f"]]
 
 
+def test_keys_need_no_python_and_follow_every_compatibility_form(spark):
+    import random
+    import re
+    import unicodedata
+    rng = random.Random(7)
+    points = [chr(c) for c in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200))]
+    texts = ["".join(points[i:i + 40]) for i in range(0, len(points), 40)] + [
+        "".join(rng.choice(points if rng.random() < 0.3 else "abc d9.") for _ in range(60)) for _ in range(300)] + ["", None, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("v", X.norm_key(F.col("v")).alias("k"), F.lower("v").alias("low"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert r["k"] == re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", r["low"] or "")).strip(" ")
+
+
+def test_signatures_of_a_batch_hold_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    lists = [[], None, [5], list(range(3000)), *[[int(x) for x in np.arange(400) * (i + 1)] for i in range(3000)], []]
+    given = pa.array(lists, pa.list_(pa.int64()))
+    tracemalloc.start()
+    got = K.minhash.func(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(got) == len(lists)
+    assert got[0].as_py() == got[1].as_py() == got[-1].as_py() == [0] * K.NUM_HASHES
+    mult, offset = K._multipliers(K.NUM_HASHES)
+    for i in (2, 3, 4, 2500):
+        h = np.array(lists[i], dtype=np.int64).view(np.uint64)
+        want = [int(((h * m + o) >> np.uint64(32)).min().astype(np.uint32).view(np.int32)) for m, o in zip(mult, offset, strict=True)]
+        assert got[i].as_py() == want
+
+
+def test_page_trees_are_made_a_few_pages_at_a_time(spark):
+    import pandas as pd
+    pages = [None if i == 7 else f"<article class='a'><p>page {i}</p></article>" for i in range(300)]
+    some = list(H.html_tree.func(iter([pd.Series(pages, dtype=object), pd.Series([], dtype=object)])))
+    assert max(map(len, some)) <= H.SLICE_PAGES and sum(map(len, some)) == 300
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string").coalesce(1)
+    rows = {r["i"]: r for r in df.select("i", H.html_tree("h").alias("t"), H.html_blocks("h").alias("b")).collect()}
+    assert all(rows[i]["t"]["blocks"][0]["text"] == rows[i]["b"][0]["text"] == f"page {i}" for i in range(300) if i != 7)
+    assert rows[7]["b"] is None and rows[7]["t"]["blocks"] is None
+
+
 def test_minhash_estimates_jaccard(spark):
     base = [f"w{i}" for i in range(400)]
     other = base[:380] + [f"z{i}" for i in range(20)]
