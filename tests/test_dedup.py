@@ -142,6 +142,27 @@ def test_star_components(spark, monkeypatch):
     assert components.star_components(frame.where("a < 0")).collect() == []
 
 
+def test_components_are_contracted_before_the_stars(spark, monkeypatch):
+    rng = random.Random(11)
+    sizes, fewer = [], components._moved_edges
+
+    def counted(e, moved):
+        sizes.append(e.count())
+        return fewer(e, moved)
+    monkeypatch.setattr(components, "_moved_edges", counted)
+    n = 3000
+    names = rng.sample(range(100_000), n)
+    edges = [(names[i], names[i + 1]) for i in range(n - 1)] + [(200_000, 200_000 + i) for i in range(1, 300)] + [(400_000, 400_000), (None, 3)]
+    edges += [(rng.randrange(300_000, 300_400), rng.randrange(300_000, 300_400)) for _ in range(200)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {r["id"]: r["label"] for r in components.star_components(frame, small=1 << 30).collect()}
+    assert sizes == [] and {want[x] for x in names} == {min(names)}
+    rows = components.star_components(frame, small=100).collect()
+    assert len(rows) == len(want) and {r["id"]: r["label"] for r in rows} == want
+    # all rounds together pass few more edges than the first alone
+    assert len(sizes) >= 3 and sum(sizes) < 2 * sizes[0]
+
+
 def test_hot_key_rank_and_carry(spark):
     """One key holds most rows; chunks must join up as one sequence."""
     rows = [("hot" if i % 3 else f"k{i % 9}", i, f"v{i}" if i % 50 == 0 else None) for i in range(3000)]
