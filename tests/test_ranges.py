@@ -129,3 +129,15 @@ def test_one_file_is_read_by_several_tasks(spark, tmp_path, tiny_splits):
     rows = ranges.json_objects(spark, str(tmp_path))
     assert rows.count() == 200 and rows.select("start").distinct().count() >= 10
     assert rows.select(F.from_json("text", S.FORUM_THREAD).alias("v")).where("length(v.t) = 50").count() == 200
+
+
+def test_long_csv_files_are_cut_into_several(spark, tmp_path):
+    from gradeloom.sources import writers
+    rows = [(None if i == 5 else i, i % 2 if i % 10 else None, f'text "{i}",\nline' * 20) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, half int, text string")
+    writers.write_csv_files(df, str(tmp_path / "c"), "half", "id", file_chars=3000)
+    files = sorted((tmp_path / "c").rglob("*.txt"))
+    assert len(files) > 6 and max(f.stat().st_size for f in files) < 12_000
+    assert all(f.read_text().startswith("\ufeffid,text\n") for f in files)
+    got = readers.corpus_csv(spark, str(tmp_path / "c"))
+    assert sorted((r["id"] or "", r["text"]) for r in got.collect()) == sorted(("" if i is None else str(i), t) for i, _, t in rows)
