@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.session import scratch_path
+from gradeloom.session import scratch_path, shuffles_freed
 
 # fixed values: the white space of [\x20\x09-\x0D] and the two cases of A-Z
 BLANKS = " \t\n\x0b\f\r"
@@ -50,7 +50,8 @@ class Scratch:
     def put(self, tag: str, df: DataFrame) -> DataFrame:
         """``df`` as a written table, in place of what was last put under ``tag``."""
         path = scratch_path(self.spark, tag)
-        df.write.mode("error").parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.mode("error").parquet(path)
         self.drop(tag)
         self.paths[tag] = path
         return self.spark.read.schema(df.schema).parquet(path)
