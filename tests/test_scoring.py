@@ -213,3 +213,58 @@ def test_prompt_spread_with_anchored(spark, pool):
     got = {(r["id"], r["variant"]) for r in spread_prompts(pool, anchored, VARIANTS, 1).collect()}
     # policy is full, the statement used by two_views is gone for the variant that chooses later
     assert got == {("anchored_x", "policy"), ("t1", "two_views")}
+
+
+def test_packed_prefix_is_the_assembled_one(spark, monkeypatch):
+    """Blocks smaller than the anchors, equal ranks, no group, other scripts."""
+    monkeypatch.setattr(scoring, "PACKED_PARTS", 3)
+    rows = [(i, f"a{i}", float(i % 3), None if i == 7 else f"g{i % 4}", f"essay 中 {i}", "st", "in", "rc") for i in range(20)]
+    schema = "ordinal int, id string, score double, group string, essay string, prompt_statement string, prompt_instruction string, rater_commentary string"
+    rubric = spark.createDataFrame([("R",)], "rubric string")
+    for few in (rows, rows[:1], []):
+        parts = scoring.prefix_parts(spark.createDataFrame(few, schema), rubric)
+        blocks = [bytes(r["block"]) for r in scoring.packed_parts(parts).orderBy("rank", "ordinal").collect()]
+        for withheld in (None, "g0", "g1", "nobody"):
+            assert scoring.unpacked_prefix(blocks, withheld) == scoring.assemble_prefix(parts.toPandas(), withheld)
+
+
+def test_copies_of_the_anchors_are_bounded_by_the_requests(spark):
+    calls = spark.range(1000).select(F.col("id").cast("string").alias("item_id"), F.lit("all").alias("context_id"), F.lit("r" * 10).alias("request"))
+    assert scoring.call_pieces(calls, 1, 5_000) == 2 and scoring.call_pieces(calls, 1, 1 << 30) == scoring.call_pieces(calls.limit(0), 1, 9) == 1
+    assert scoring.call_pieces(calls, 1000, 1, samples=3) == 3
+
+
+def test_equal_calls_are_made_once(spark):
+    """Equal calls stand in one piece, over batches too; calls that differ in one point stay."""
+    rows = [("k", "all", "r", 0)] * 300 + [("k", "all", "r", 1), ("l", "all", "r", 0), (None, "all", "r", 0), (None, "all", "r", 0)]
+    calls = spark.createDataFrame(rows, "item_id string, context_id string, request string, sample_idx int")
+    parts = scoring.prefix_parts(spark.createDataFrame([], "ordinal int, id string, score double, group string, essay string, prompt_statement string, "
+                                                       "prompt_instruction string, rater_commentary string"), spark.createDataFrame([("R",)], "rubric string"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = sorted((r["item_id"] or "", r["sample_idx"]) for r in scoring.call_with_anchors(calls, parts, scorer([wire(3)]), piece_calls=1, distinct=True).collect())
+        assert got == [("", 0), ("k", 0), ("k", 1), ("l", 0)]
+        assert scoring.call_with_anchors(calls, parts, scorer([wire(3)])).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_a_review_leaves_no_table_of_texts(spark, pool, prefixes, tmp_path, kept):
+    """Essays are written beside no later step: what is left holds keys, answers and error rows."""
+    import os
+
+    from gradeloom.session import checkpoint_root
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    essay = "An essay that nothing else says, at some length."
+    rows = spark.createDataFrame([("i1", "Only once stated.", essay), ("i2", "Stated twice.", essay), ("i3", "Only once stated.", " ")],
+                                 "item_id string, statement string, essay string")
+    out = review.review_batch(rows, pool, prefixes, scorer([wire(4)]), ledger=str(tmp_path / "ledger") if kept else None)
+    assert {r["item_id"]: (r["consensus"], r["calls"], r["error"] is None) for r in out.collect()} == {
+        "i1": (4.0, 1, True), "i2": (None, 0, False), "i3": (0.0, 0, True)}
+    for name in set(os.listdir(root)) - before:
+        table = spark.read.parquet(f"{root}/{name}")
+        texts = [c for c, kind in table.dtypes if kind == "string"]
+        assert not any(essay in (r[c] or "") for r in table.select(*texts).collect() for c in texts), name
