@@ -66,3 +66,14 @@ def test_rendered_lines(spark):
     assert text[0] == "Length: 5 words, 1 paragraph(s), 2 sentences."
     assert text[1] == "Sentence length: mean 2.5 words, standard deviation 0.7."
     assert text[4].endswith("none found.") and text[-1] == "Mechanical flags: extremely_short."
+
+
+def test_flags_alone_compute_no_other_signal(spark):
+    """A job that reads the flags pays for no markers; one that reads all of them computes each once."""
+    df = spark.createDataFrame([("An  Essay\nwords", "an essay words and more"), (None, None), ("Σ", "σ"), ("in part", "In  part")], "essay string, statement string")
+    out = S.with_signals(df)
+    zero = out.select(S.is_mechanical_zero(F.col("signals.flags")).alias("zero"))
+    plan = zero._jdf.queryExecution().optimizedPlan().toString()
+    assert "million" not in plan and "copies_prompt" in plan
+    assert out.where(S.is_mechanical_zero(F.col("signals.flags"))).select("signals")._jdf.queryExecution().optimizedPlan().toString().count("million") == 1
+    assert [r[0] for r in zero.collect()] == [r["zero"] for r in out.withColumn("zero", S.is_mechanical_zero(F.col("signals.flags"))).collect()] == [True, True, True, True]
