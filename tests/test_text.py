@@ -146,3 +146,11 @@ def test_dates(col, spark):
         "2019-09-14", "2014-03-07", "2014-03-07", None]
     assert col(lambda c: R.forum_date(c, "2020-01-01"), ["7 Mar 2014 10:00", "1 Jan 2020", "x"]) == ["2014-03-07", None, None]
     assert spark.range(1).select(R.epoch_date(F.lit(1669766400))).first()[0] == "2022-11-30"
+
+
+def test_a_key_lowers_its_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from gradeloom.functions import text as X
+    plan = spark.range(1).select(X.norm_key(F.col("id").cast("string")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
