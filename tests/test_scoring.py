@@ -251,20 +251,20 @@ def test_equal_calls_are_made_once(spark):
 
 
 @pytest.mark.parametrize("kept", [False, True])
-def test_a_review_leaves_no_table_of_texts(spark, pool, prefixes, tmp_path, kept):
+def test_a_review_leaves_no_table_of_texts(spark, pool, prefixes, tmp_path, monkeypatch, kept):
     """Essays are written beside no later step: what is left holds keys, answers and error rows."""
-    import os
-
-    from gradeloom.session import checkpoint_root
-    root = checkpoint_root(spark)
-    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    from gradeloom import session
+    root = tmp_path / "tables"
+    monkeypatch.setattr(session, "checkpoint_root", lambda _: str(root))
     essay = "An essay that nothing else says, at some length."
     rows = spark.createDataFrame([("i1", "Only once stated.", essay), ("i2", "Stated twice.", essay), ("i3", "Only once stated.", " ")],
                                  "item_id string, statement string, essay string")
     out = review.review_batch(rows, pool, prefixes, scorer([wire(4)]), ledger=str(tmp_path / "ledger") if kept else None)
     assert {r["item_id"]: (r["consensus"], r["calls"], r["error"] is None) for r in out.collect()} == {
         "i1": (4.0, 1, True), "i2": (None, 0, False), "i3": (0.0, 0, True)}
-    for name in set(os.listdir(root)) - before:
-        table = spark.read.parquet(f"{root}/{name}")
+    left = list(root.iterdir())
+    assert left
+    for path in left:
+        table = spark.read.parquet(str(path))
         texts = [c for c, kind in table.dtypes if kind == "string"]
-        assert not any(essay in (r[c] or "") for r in table.select(*texts).collect() for c in texts), name
+        assert not any(essay in (r[c] or "") for r in table.select(*texts).collect() for c in texts), path.name
