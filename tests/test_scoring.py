@@ -268,3 +268,64 @@ def test_a_review_leaves_no_table_of_texts(spark, pool, prefixes, tmp_path, monk
         table = spark.read.parquet(str(path))
         texts = [c for c, kind in table.dtypes if kind == "string"]
         assert not any(essay in (r[c] or "") for r in table.select(*texts).collect() for c in texts), path.name
+
+
+SHORT_ANCHORS = "ordinal int, id string, score double, group string, essay string, prompt_statement string, prompt_instruction string, rater_commentary string"
+
+
+def test_long_anchors_are_read_from_the_disk_of_the_task(spark, monkeypatch):
+    """No scorer gets anchors beyond the limit as one str, and each reads the same text, of any context, in every piece."""
+    rows = [(i, f"g{i % 3}_score{i}", float(i % 4), f"g{i % 3}", f"essay \u4e2d {i} " * 50, "st", "in", "rc") for i in range(12)]
+    parts = scoring.prefix_parts(spark.createDataFrame(rows, SHORT_ANCHORS), spark.createDataFrame([("R",)], "rubric string"))
+    contexts = ["without:g0"] * 30 + ["without:g1", "all", "without:nobody", None]
+    calls = spark.createDataFrame([(f"i{i}", c, "r" * 100_000) for i, c in enumerate(contexts)], "item_id string, context_id string, request string")
+    whole = parts.toPandas()
+    want = {c: scoring.assemble_prefix(whole, None if c == "all" else c[len("without:"):]) for c in {c or "all" for c in contexts}}
+    monkeypatch.setattr(scoring, "PACKED_PARTS", 2)
+    monkeypatch.setattr(scoring, "WHOLE_CHARS", 1000)
+
+    def echo(batch):
+        kinds = {type(p).__name__ for p in batch["prefix"]}
+        chunks = max(len(list(p.chunks())) if isinstance(p, scoring.LongText) else 0 for p in batch["prefix"])
+        return scorer([wire(3)])(batch).assign(text=batch["context_id"] + "|" + batch["prefix"], refusal=",".join(kinds), input=batch["prefix"].str.len(), output=chunks)
+    for piece_calls in (7, 1000):
+        got = scoring.call_with_anchors(calls, parts, echo, samples=2, piece_calls=piece_calls).collect()
+        assert sorted((r["item_id"], r["sample_idx"]) for r in got) == sorted((f"i{i}", s) for i in range(len(contexts)) for s in (0, 1))
+        for r in got:
+            context, prefix = r["text"].split("|", 1)
+            assert context == (contexts[int(r["item_id"][1:])] or "all") and prefix == want[context]
+            assert r["refusal"] == "LongText" and r["input"] == len(prefix) and r["output"] > 3
+
+
+def test_long_text_is_searched_over_its_seams(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PACKED_PARTS", 1)
+    rows = [(i, f"a{i}", 1.0, f"g{i % 2}", f"essay {i}", "st", "in", "rc") for i in range(5)]
+    parts = scoring.prefix_parts(spark.createDataFrame(rows, SHORT_ANCHORS), spark.createDataFrame([("R",)], "rubric string"))
+    blocks = scoring.BlockFile()
+    blocks.extend(bytes(r["block"]) for r in scoring.packed_parts(parts).orderBy("rank", "ordinal").collect())
+    for withheld in (None, "g0", "g1"):
+        text, whole = scoring.LongText(blocks, withheld), scoring.assemble_prefix(parts.toPandas(), withheld)
+        assert len(text) == len(whole) and str(text) == f"{text}" == whole and "x" + text + "y" == f"x{whole}y"
+        for size in (1, 9, 40, 300):
+            assert all(whole[i:i + size] in text for i in range(len(whole)))
+        assert "" in text and "essay 9" not in text and whole + "x" not in text
+    assert "essay 0" not in scoring.LongText(blocks, "g0") and "essay 1" in scoring.LongText(blocks, "g0")
+    blocks.close()
+
+
+def test_packed_blocks_are_bounded_by_bytes():
+    cuts = lambda sizes: list(scoring._cuts(sizes))
+    most = scoring.PACKED_BYTES
+    assert cuts([]) == [] and cuts([5, 5]) == [(0, 2)] and cuts([most + 1, 1, most, 1]) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    assert cuts([1] * (2 * scoring.PACKED_PARTS + 1)) == [(0, scoring.PACKED_PARTS), (scoring.PACKED_PARTS, scoring.PACKED_PARTS), (2 * scoring.PACKED_PARTS, 1)]
+
+
+def test_a_piece_has_few_contexts_and_its_share_of_the_calls(spark):
+    sizes = {"all": 600, **{f"without:g{i}": 40 for i in range(10)}}
+    calls = spark.createDataFrame([(f"{c}{i}", c) for c, n in sizes.items() for i in range(n)] * 2, "item_id string, context_id string")
+    dealt = scoring._dealt(calls, 5)
+    got = dealt.groupBy("_piece").agg(F.count("*").alias("n"), F.countDistinct("context_id").alias("contexts")).collect()
+    assert {r["_piece"] for r in got} == set(range(5)) and sum(r["contexts"] for r in got) <= len(sizes) + 4
+    assert all(300 <= r["n"] <= 500 for r in got)
+    assert dealt.groupBy("item_id", "context_id").agg(F.countDistinct("_piece").alias("n")).where("n > 1").isEmpty()
+    assert scoring._dealt(calls.limit(0), 1).count() == 0
