@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.functions import text as X
 from gradeloom.operators import scoring
 from gradeloom.operators.prompts import resolve_prompts
 from gradeloom.operators.testsets import spread_prompts
@@ -329,3 +330,15 @@ def test_a_piece_has_few_contexts_and_its_share_of_the_calls(spark):
     assert all(300 <= r["n"] <= 500 for r in got)
     assert dealt.groupBy("item_id", "context_id").agg(F.countDistinct("_piece").alias("n")).where("n > 1").isEmpty()
     assert scoring._dealt(calls.limit(0), 1).count() == 0
+
+
+def test_a_response_is_parsed_once(spark):
+    """The parts of a review come from one parse of its text, and are what each part's own parse gives."""
+    texts = [wire(3), "no json", "{", "null", "[]", None, "", '{"holisticScore":"x"}', '{"holisticScore":3}', '{"holisticScore":3,"axisAssessments":5}',
+             wire(2).replace("}", ',"suggestions":"none"}', 1), '{"holisticScore":3,"axisAssessments":{"position":{"score":1}}}']
+    df = spark.createDataFrame([(i, t, "no" if i == 0 else None) for i, t in enumerate([wire(1), *texts])], "i int, text string, refusal string")
+    once = X.computed_once(X.computed_once(df, _wire=scoring.review_wire()), p=scoring.parse_review(wire="_wire"))
+    plan = once.select("i", "p.review", "p.error")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    got, want = ({r["i"]: r["p"] for r in d.collect()} for d in (once, df.select("i", scoring.parse_review().alias("p"))))
+    assert got == want and got[0]["error"] == "scorer declined: no" and got[1]["error"] is None
