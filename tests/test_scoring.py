@@ -342,3 +342,24 @@ def test_a_response_is_parsed_once(spark):
     assert plan.count("from_json") == 1
     got, want = ({r["i"]: r["p"] for r in d.collect()} for d in (once, df.select("i", scoring.parse_review().alias("p"))))
     assert got == want and got[0]["error"] == "scorer declined: no" and got[1]["error"] is None
+
+
+def test_a_ledger_holds_answers_to_long_anchors(spark, tmp_path, monkeypatch):
+    """Open calls meet their long prefix; a second run finds the answers and asks nobody."""
+    monkeypatch.setattr(scoring, "WHOLE_CHARS", 100)
+    rows = [(i, f"a{i}", float(i), f"g{i % 2}", f"essay {i} " * 50, "st", "in", "rc") for i in range(4)]
+    parts = scoring.prefix_parts(spark.createDataFrame(rows, SHORT_ANCHORS), spark.createDataFrame([("R",)], "rubric string"))
+    whole = parts.toPandas()
+    want = {c: len(scoring.assemble_prefix(whole, g)) for c, g in (("all", None), ("without:g0", "g0"), ("without:g1", "g1"))}
+    calls = spark.createDataFrame([(f"i{i}", c, f"r{i // 2}") for i, c in enumerate(["all", "all", "without:g0", "without:g1"] * 3)],
+                                  "item_id string, context_id string, request string")
+
+    def long(batch):
+        assert all(isinstance(p, scoring.LongText) for p in batch["prefix"])
+        return scorer([wire(3)])(batch).assign(text=batch["context_id"], input=batch["prefix"].str.len())
+
+    def never(batch):
+        raise AssertionError("asked again")
+    for ask in (long, never):
+        got = scoring.call_once(calls, parts, ask, str(tmp_path / "ledger")).collect()
+        assert len(got) == 12 and all(r["input"] == want[r["text"]] and r["refusal"] is None for r in got)
