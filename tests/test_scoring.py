@@ -363,3 +363,23 @@ def test_a_ledger_holds_answers_to_long_anchors(spark, tmp_path, monkeypatch):
     for ask in (long, never):
         got = scoring.call_once(calls, parts, ask, str(tmp_path / "ledger")).collect()
         assert len(got) == 12 and all(r["input"] == want[r["text"]] and r["refusal"] is None for r in got)
+
+
+def test_evaluation_against_long_anchors(spark, pool, monkeypatch):
+    """Leave-group-out holds where the anchors are too long for one str."""
+    monkeypatch.setattr(scoring, "WHOLE_CHARS", 100)
+    rows = [(f"g{g}_score{s}", f"Essay {g} {s} speaks.", "Only once stated.", "official", float(s), g * 10 + s) for g in range(2) for s in range(1, 4)]
+    gold = spark.createDataFrame(rows, "id string, essay string, statement string, label_source string, true_score double, ordinal int")
+    anchors = gold.select("ordinal", "id", F.col("true_score").alias("score"), F.regexp_replace("id", r"_score\d$", "").alias("group"), "essay",
+                          F.lit("st").alias("prompt_statement"), F.lit("in").alias("prompt_instruction"), F.lit("rc").alias("rater_commentary"))
+
+    def by_id(batch):
+        texts = []
+        for item, prefix in zip(batch["item_id"], batch["prefix"], strict=True):
+            group, _, score = item.partition("_score")
+            other = "g1" if group == "g0" else "g0"
+            fine = isinstance(prefix, scoring.LongText) and f"Anchor {group}_" not in prefix and f"Anchor {other}_score3" in prefix
+            texts.append(wire(float(score)) if fine else "leak")
+        return scorer([wire(1)])(batch).assign(text=texts)
+    out = review.evaluate(gold, anchors, pool, spark.createDataFrame([("RUBRIC",)], "rubric string"), by_id)
+    assert {r["cut"]: (r["n"], r["qwk"]) for r in out["metrics"].collect()}["official"] == (6, 1.0)
